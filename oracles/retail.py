@@ -193,10 +193,10 @@ SELECT segment, n AS records, n / CAST(total AS DOUBLE) * 100 AS record_share_pc
   SELECT 'Stockout risk (>=0.9)', SUM(CASE WHEN sell_through_rate >= 0.9 THEN 1 ELSE 0 END), COUNT(*) FROM inv) x""",
     "c21_hist": _bins("inv", "sell_through_rate"),
     "c21_kde": """
-SELECT point, at AS x, SUM(EXP(-0.5 * POWER((at - v) / w, 2))) / (n * w * SQRT(2 * PI())) AS density FROM (
-  SELECT g.point, lo + (hi - lo) * g.point / 199 AS at, n, s * POWER(CAST(n AS DOUBLE), -0.2) AS w FROM (SELECT COUNT(*) AS n, STDDEV_SAMP(sell_through_rate) AS s,
+SELECT point, gx AS x, SUM(EXP(-0.5 * POWER((gx - v) / w, 2))) / (n * w * SQRT(2 * PI())) AS density FROM (
+  SELECT g.point, lo + (hi - lo) * g.point / 199 AS gx, n, s * POWER(CAST(n AS DOUBLE), -0.2) AS w FROM (SELECT COUNT(*) AS n, STDDEV_SAMP(sell_through_rate) AS s,
     MIN(sell_through_rate) AS lo, MAX(sell_through_rate) AS hi FROM inv) a, (SELECT UNNEST(range(200)) AS point) g) p,
-  (SELECT sell_through_rate AS v FROM inv) d GROUP BY point, at, n, w""",
+  (SELECT sell_through_rate AS v FROM inv) d GROUP BY point, gx, n, w""",
     "c22_category_sales": "SELECT category, SUM(units_sold) AS total_units_sold, AVG(units_sold) AS avg_units_sold, COUNT(DISTINCT product_id) AS products FROM inv GROUP BY 1",
     "c23_category_str": """SELECT category, AVG(sell_through_rate) AS avg_sell_through, MEDIAN(sell_through_rate) AS median_sell_through, COUNT(*) AS records,
   SUM(units_sold) AS total_units_sold, SUM(stock_on_hand) AS total_stock_on_hand FROM inv GROUP BY 1""",

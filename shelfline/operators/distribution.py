@@ -17,17 +17,21 @@ CELLS = 256
 SAMPLES_PER_CELL = 16
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
-    """Per distinct (keys, value): ``copies`` and ``below``, the number of smaller values in the key.
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def ordered_counts(counts: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
+    """Per distinct (keys, value) of ``value_counts``: ``below``, the number of smaller values in the key.
 
     The cell borders come from the values with the smallest hashes, a fixed-size
     sample that does not depend on task order. They only balance the work; the
     counts are exact whatever the borders are.
     """
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("copies")))
-    sample = counts.orderBy(F.xxhash64(*keys, value), *keys, value).limit(cells * SAMPLES_PER_CELL)
+    # Ordering by ``copies`` too keeps the column alive, so that all three uses of
+    # ``counts`` read the same shuffle instead of repeating the scan.
+    sample = counts.orderBy(F.xxhash64(*keys, value), *keys, value, "copies").limit(cells * SAMPLES_PER_CELL)
     drawn = sample.agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_drawn"))
     borders = drawn.select(F.transform(
         F.sequence(F.lit(1), F.lit(cells - 1)),
@@ -50,8 +54,9 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, cells: int =
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per key: one column per entry of ``probs``."""
     keys = list(keys)
-    ordered = ordered_counts(df, keys, value)
-    size = ordered.groupBy(*keys).agg(F.sum("copies").alias("_n"))
+    counts = value_counts(df, keys, value)
+    ordered = ordered_counts(counts, keys, value)
+    size = counts.groupBy(*keys).agg(F.sum("copies").alias("_n"))
     located = ordered.join(size, keys) if keys else ordered.crossJoin(F.broadcast(size))
     last = F.col("below") + F.col("copies") - 1
     number = F.col(value).cast("double")
@@ -67,13 +72,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return located.groupBy(*keys).agg(*picks).select(*keys, *shape)
 
 
-def percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the rank of ``value`` among all rows as a share of the row count; ties get their mean rank."""
-    ordered = ordered_counts(df, [], value)
-    size = ordered.agg(F.sum("copies").alias("_n"))
-    ranks = (ordered.crossJoin(F.broadcast(size))
-             .select(value, ((F.col("below") + (F.col("copies") + 1) / 2.0) / F.col("_n")).alias(out)))
-    return df.join(ranks, value, "left")
+def percentile_ranks(df: DataFrame, **ranks: str) -> DataFrame:
+    """Add ``name=column`` ranks among all rows as a share of the row count; ties get their mean rank.
+
+    ``df`` is read once per rank and once more for the result: pass a stored table.
+    """
+    out = df
+    for name, value in ranks.items():
+        counts = value_counts(df, [], value)
+        size = counts.agg(F.sum("copies").alias("_n"))
+        place = (F.col("below") + (F.col("copies") + 1) / 2.0) / F.col("_n")
+        ranked = ordered_counts(counts, [], value).crossJoin(F.broadcast(size)).select(value, place.alias(name))
+        out = out.join(ranked, value, "left")
+    return out
 
 
 def rank_pct_within(value: Column | str, keys: Sequence[str]) -> Column:

@@ -11,6 +11,7 @@ from shelfline.operators.joins import contract_join
 from shelfline.operators.keyed import group, ranked, share_of_total
 from shelfline.operators.reshape import to_long, to_wide
 from shelfline.plans.traffic import is_valid
+from shelfline.session import stored
 from shelfline.sources import RetailTables
 from shelfline.sources.schemas import require_columns
 
@@ -200,9 +201,8 @@ def sku_performance(t: RetailTables) -> DataFrame:
     revenue = group(lines.withColumn("net", net), *SKU).agg(
         sum0("net").alias("net_revenue"), sum0("line_revenue").alias("gross_revenue"),
         sum0("quantity").alias("total_quantity_ordered"), F.count("order_item_id").alias("order_item_count"))
-    both = stock.join(revenue, list(SKU))
-    scored = D.percentile_rank(both, "avg_sell_through_rate", "sell_through_rank_pct")
-    scored = D.percentile_rank(scored, "net_revenue", "revenue_rank_pct")
+    both = stored(stock.join(revenue, list(SKU)), "sku")  # read once per rank
+    scored = D.percentile_ranks(both, sell_through_rank_pct="avg_sell_through_rate", revenue_rank_pct="net_revenue")
     score = (F.col("sell_through_rank_pct") + F.col("revenue_rank_pct")) / 2
     return scored.withColumn("combined_score", F.round(score, 10))
 
