@@ -159,9 +159,9 @@ JOIN (SELECT product_id, product_name, category, SUM(net_revenue) AS net_revenue
 }
 
 
-def with_views(body: str, views: dict[str, str] | None = None) -> str:
+def with_views(body: str, extra: dict[str, str] | None = None, materialized: frozenset[str] = frozenset()) -> str:
     """Prefix ``body`` with the definitions it uses, in order."""
-    views = {**VIEWS, **(views or {})}
+    views = {**VIEWS, **(extra or {})}
     needed: set[str] = set()
 
     def visit(text: str) -> None:
@@ -171,5 +171,6 @@ def with_views(body: str, views: dict[str, str] | None = None) -> str:
                 visit(views[word])
 
     visit(body)
-    parts = [f"{n} AS ({views[n].strip()})" for n in views if n in needed]
+    kept = {n: " MATERIALIZED" if n in materialized else "" for n in views if n in needed}
+    parts = [f"{n} AS{how} ({views[n].strip()})" for n, how in kept.items()]
     return f"WITH {', '.join(parts)} {body.strip()}" if parts else body.strip()

@@ -38,7 +38,11 @@ class Query:
         cols = []
         for name, kind in self.fields():
             col = F.col(f"`{name}`")
-            col = col.cast(_SPARK[kind]) if kind in _SPARK else F.round(col.cast("double"), int(kind)) + F.lit(0.0)
+            if kind in _SPARK:
+                col = col.cast(_SPARK[kind])
+            else:  # plain arithmetic, so that both engines round equal doubles equally
+                unit = F.lit(float(10 ** int(kind)))
+                col = F.floor(col.cast("double") * unit + F.lit(0.5)).cast("double") / unit
             cols.append(col.alias(name))
         return df.select(*cols)
 
@@ -47,7 +51,7 @@ class Query:
         for name, kind in self.fields():
             ref = f'"{name}"'
             cols.append(f"CAST({ref} AS {_SQL[kind]}) AS {ref}" if kind in _SQL
-                        else f"ROUND(CAST({ref} AS DOUBLE), {int(kind)}) + 0.0 AS {ref}")
+                        else f"FLOOR(CAST({ref} AS DOUBLE) * 1E{int(kind)} + 0.5E0) / 1E{int(kind)} AS {ref}")
         return f"SELECT {', '.join(cols)} FROM ({sql.strip()}) result"
 
     def run(self, tables: RetailTables) -> DataFrame:
