@@ -103,10 +103,10 @@ class TreeParams:
 
 # The four published configurations.
 FULL_ENSEMBLE: dict[str, TreeParams] = {
-    "lgbm_base": TreeParams(1402, 0.03759155708560107, 7, 100, 0.688363529336043, 0.8975121712165626),
-    "lgbm_shallow": TreeParams(900, 0.04, 4, 60, 0.85, 0.85),
-    "lgbm_deep": TreeParams(800, 0.06, 8, 30, 0.80, 0.85),
-    "lgbm_conservative": TreeParams(1500, 0.025, 5, 100, 0.90, 0.90),
+    "gbt_base": TreeParams(1402, 0.03759155708560107, 7, 100, 0.688363529336043, 0.8975121712165626),
+    "gbt_shallow": TreeParams(900, 0.04, 4, 60, 0.85, 0.85),
+    "gbt_deep": TreeParams(800, 0.06, 8, 30, 0.80, 0.85),
+    "gbt_conservative": TreeParams(1500, 0.025, 5, 100, 0.90, 0.90),
 }
 
 
@@ -138,7 +138,7 @@ class TrendBreakConfig:
     weekly_order: int = 3
     band: float = 0.80
     reg_param: float = 1e-4
-    output: str = "Prophet"
+    output: str = "TrendBreak"
 
 
 @dataclass(frozen=True)

@@ -12,16 +12,19 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.config import BlendConfig, SeriesConfig
-from shelfline.forecast import baseline, blend, series as S
+from shelfline.config import ForecastConfig
+from shelfline.forecast import baseline, blend, series as S, trend_break
+from shelfline.forecast.ensemble import Ensemble, build_estimators, fit_ensemble, future_features, recursive_forecast
+from shelfline.forecast.features import feature_matrix
 from shelfline.forecast.profile import build_profile
 from shelfline.session import stored
 from shelfline.sources import RetailTables
 
 
 class Workspace:
-    def __init__(self, tables: RetailTables, cfg: SeriesConfig, blend_cfg: BlendConfig | None = None) -> None:
-        self.tables, self.cfg, self.blend_cfg = tables, cfg, blend_cfg or BlendConfig()
+    def __init__(self, tables: RetailTables, config: ForecastConfig) -> None:
+        self.tables, self.cfg, self.blend_cfg = tables, config.series, config.blend
+        self.params, self.trend_cfg, self.attribution_cfg = config.ensemble, config.trend, config.attribution
 
     @cached_property
     def series(self) -> DataFrame:
@@ -67,6 +70,67 @@ class Workspace:
         return blend.mix_scenarios(self.scenario_baselines(weights), "non_covid", "covid",
                                    self.cfg.regime_probability, columns)
 
+    # --- the trained ensemble ---
+
+    @cached_property
+    def train_matrix(self) -> DataFrame:
+        return feature_matrix(self.parts[0], self.train_profile, self.cfg)
+
+    @cached_property
+    def full_matrix(self) -> DataFrame:
+        return stored(feature_matrix(self.series, self.full_profile, self.cfg), "matrix")
+
+    @cached_property
+    def train_ensemble(self) -> Ensemble:
+        return fit_ensemble(self.train_matrix, self.cfg, build_estimators(self.params))
+
+    @cached_property
+    def full_ensemble(self) -> Ensemble:
+        return fit_ensemble(self.full_matrix, self.cfg, build_estimators(self.params))
+
+    @cached_property
+    def ensemble_judged(self) -> DataFrame:
+        """Hold-out days with the truth and every member's recursive forecast."""
+        train, test = self.parts
+        days = test.select(F.lit("auto").alias("scenario"), "unique_id", "ds", self.cfg.regime_col)
+        ahead = future_features(days, self.train_profile, self.cfg)
+        predicted = recursive_forecast(self.train_ensemble, train, ahead, self.cfg).drop("scenario")
+        return stored(test.select("unique_id", "ds", "y").join(predicted, ["unique_id", "ds"]), "ensemble-judged")
+
+    @cached_property
+    def ensemble_blend(self) -> DataFrame:
+        names = self.train_ensemble.names
+        weights = blend.weight_candidates(len(names), self.blend_cfg)
+        return stored(blend.learn_blend(self.ensemble_judged, names, weights, self.blend_cfg), "blend")
+
+    def ensemble_validation(self) -> DataFrame:
+        return blend.apply_blend(self.ensemble_judged, self.ensemble_blend, self.train_ensemble.names, self.blend_cfg)
+
+    @cached_property
+    def scenario_forecasts(self) -> DataFrame:
+        """Every scenario of the days ahead, blended, and the mix of the first two."""
+        future = S.future_frame(self.series, self.cfg, S.SCENARIOS)
+        ahead = future_features(future, self.full_profile, self.cfg)
+        raw = recursive_forecast(self.full_ensemble, self.series, ahead, self.cfg)
+        each = stored(blend.apply_blend(raw, self.ensemble_blend, self.full_ensemble.names, self.blend_cfg), "scenarios")
+        columns = [*self.full_ensemble.names, self.blend_cfg.output]
+        return each.unionByName(blend.mix_scenarios(each, S.SCENARIOS[0], S.SCENARIOS[1],
+                                                    self.cfg.regime_probability, columns))
+
+    # --- trend break ---
+
+    def trend_validation(self) -> DataFrame:
+        train, test = self.parts
+        days = test.select(F.lit("auto").alias("scenario"), "unique_id", "ds", self.cfg.regime_col)
+        found = trend_break.predict(trend_break.fit(train, self.cfg, self.trend_cfg), days, self.cfg, self.trend_cfg)
+        return found.drop("scenario").join(test.select("unique_id", "ds", "y"), ["unique_id", "ds"])
+
+    def trend_scenarios(self) -> DataFrame:
+        future = S.future_frame(self.series, self.cfg, S.SCENARIOS)
+        fitted = trend_break.fit(self.series, self.cfg, self.trend_cfg)
+        each = trend_break.predict(fitted, future, self.cfg, self.trend_cfg)
+        return trend_break.with_mix(each, self.cfg.regime_probability, self.trend_cfg, S.SCENARIOS)
+
 
 def weights_as_columns(found: DataFrame, count: int) -> DataFrame:
     return found.select("unique_id", "candidate", *[F.get("weights", F.lit(i)).alias(f"w{i + 1}") for i in range(count)],

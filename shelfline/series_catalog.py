@@ -7,22 +7,26 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.catalog import Query
-from shelfline.config import SeriesConfig
+from shelfline.config import ForecastConfig, SeriesConfig, TrendBreakConfig, quick_ensemble
 from shelfline.forecast import baseline, series as S
-from shelfline.forecast.blend import weight_grid
+from shelfline.forecast.attribution import top_features
+from shelfline.forecast.blend import apply_blend, learn_blend, weight_candidates, weight_grid
 from shelfline.forecast.calendar import DATE_FEATURES, add_calendar, harmonic_columns, onehot_columns
 from shelfline.forecast.features import feature_matrix, feature_names, prefixed
-from shelfline.forecast.metrics import forecast_metrics, model_errors
+from shelfline.forecast.metrics import forecast_metrics, model_errors, nested_evaluation
 from shelfline.forecast.profile import LAYERS, annual_peaks, build_profile, peak_preview
-from shelfline.forecast.submission import history_and_forecast, to_submission
+from shelfline.forecast.submission import export_scenarios, history_and_forecast, to_submission
 from shelfline.forecast.workspace import Workspace, weights_as_columns
+from shelfline.operators.keyed import seeded_sample
 from shelfline.session import work_path
 from shelfline.sources import RetailTables
 from shelfline.sources.files import contract_facts, read_csv, write_csv
 from shelfline.sources.schemas import SCHEMAS
 
 TESTBED = SeriesConfig(regime_start=date(1999, 1, 1), regime_end=date(2000, 6, 30))
+CONFIG = ForecastConfig(series=TESTBED, ensemble=quick_ensemble(), trend=TrendBreakConfig(break_date=date(1999, 1, 1)))
 GRID = weight_grid(len(baseline.BASELINES), 4)
+PRIMARY = "gbt_base"
 _spaces: dict[tuple[str, str], Workspace] = {}
 
 
@@ -30,7 +34,7 @@ def workspace(t: RetailTables) -> Workspace:
     """One workspace per session and data folder, so that its stored series is shared."""
     key = (t.spark.sparkContext.applicationId, t.base)
     if key not in _spaces:
-        _spaces[key] = Workspace(t, TESTBED)
+        _spaces[key] = Workspace(t, CONFIG)
     return _spaces[key]
 
 
@@ -71,6 +75,47 @@ def _history_and_forecast(t: RetailTables) -> DataFrame:
     return history_and_forecast(w.series, w.mixed_baselines(GRID), w.blend_cfg.output, TESTBED)
 
 
+# --- trained models ------------------------------------------------------------
+
+def _ensemble_metrics(t: RetailTables) -> DataFrame:
+    """Errors of the blended ensemble on the days it never saw, next to those of the best seasonal baseline."""
+    w = workspace(t)
+    blended = forecast_metrics(w.ensemble_validation(), w.blend_cfg.output).withColumn("model", F.lit("ensemble"))
+    naive = forecast_metrics(w.judged, baseline.BASELINES[0]).withColumn("model", F.lit(baseline.BASELINES[0]))
+    trend = forecast_metrics(w.trend_validation(), w.trend_cfg.output).withColumn("model", F.lit("trend_break"))
+    return blended.unionByName(naive).unionByName(trend)
+
+
+def _nested_metrics(t: RetailTables) -> DataFrame:
+    """Blend learned on the first half of the hold-out and scored on the second half."""
+    w = workspace(t)
+    learn_on, score_on = nested_evaluation(w.ensemble_judged)
+    names = w.train_ensemble.names
+    found = learn_blend(learn_on, names, weight_candidates(len(names), w.blend_cfg), w.blend_cfg)
+    return forecast_metrics(apply_blend(score_on, found, names, w.blend_cfg), w.blend_cfg.output)
+
+
+def _export_scenarios(t: RetailTables) -> DataFrame:
+    w = workspace(t)
+    wide = to_submission(w.scenario_forecasts, w.blend_cfg.output, TESTBED, by_scenario=True)
+    path = export_scenarios(wide, work_path(t.spark, "scenarios"))
+    schema = "Date date, Revenue double, COGS double, scenario string"
+    return t.spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def _attribution(t: RetailTables) -> DataFrame:
+    w = workspace(t)
+    tables = [top_features(w.full_matrix, target, w.full_ensemble.trees[PRIMARY], feature_names(TESTBED),
+                           w.attribution_cfg) for target in TESTBED.targets]
+    return tables[0].unionByName(tables[1])
+
+
+def _sample(t: RetailTables) -> DataFrame:
+    w = workspace(t)
+    picked = w.full_matrix.select("unique_id", "ds", "y")
+    return seeded_sample(picked, ["unique_id", "ds"], w.attribution_cfg.sample_rows, w.attribution_cfg.seed)
+
+
 # --- result columns ----------------------------------------------------------
 
 _LEVELS = {"woy_target_mean", "woy_profile_mean", "woy_profile_median", "woy_profile_std", "woy_recent_mean",
@@ -94,6 +139,7 @@ def _columns(lead: str, names) -> str:
 
 
 _PREDICTIONS = " ".join(f"{m}:0" for m in baseline.BASELINES)
+_MEMBERS = " ".join(f"{m}:0" for m in CONFIG.ensemble)
 _LONG = "unique_id:s ds:d"
 _PROFILE_ALL = [c for cols in LAYERS.values() for c in cols]
 _WEEK = "unique_id:s woy_week:i"
@@ -138,5 +184,17 @@ SERIES: dict[str, Query] = {
     "submission_wide": Query(_submission, "Date:d Revenue:2 COGS:2"),
     "export_roundtrip": Query(_roundtrip, "Date:d Revenue:2 COGS:2"),
     "contract_check": Query(lambda t: contract_facts(_submission(t)), "first_day:d last_day:d rows:l days:l"),
+    "ensemble_fit": Query(_ensemble_metrics, "model:s unique_id:s mae:0 rmse:0 r2 mape_pct guarded_share days:l"),
+    "ensemble_nested": Query(_nested_metrics, "unique_id:s mae:0 rmse:0 r2 mape_pct guarded_share days:l"),
+    "recursive_forecast": Query(lambda t: workspace(t).ensemble_validation(), f"{_LONG} y:4 {_MEMBERS} Optimized:0"),
+    "scenario_forecast": Query(lambda t: workspace(t).scenario_forecasts, f"scenario:s {_LONG} {_MEMBERS} Optimized:0"),
+    "export_scenarios": Query(_export_scenarios, "scenario:s Date:d Revenue:2 COGS:2"),
+    "trend_break_forecast": Query(lambda t: workspace(t).trend_validation(),
+                                  f"{_LONG} y:4 TrendBreak:0 yhat_lower:0 yhat_upper:0"),
+    "trend_break_scenarios": Query(lambda t: workspace(t).trend_scenarios(),
+                                   f"scenario:s {_LONG} TrendBreak:0 yhat_lower:0 yhat_upper:0"),
+    "attribution_top20": Query(_attribution, "unique_id:s feature:s mean_abs_contribution:2 mean_contribution:2 "
+                                             "sampled_rows:l"),
+    "seeded_sample": Query(_sample, f"{_LONG} y:4"),
     "history_vs_forecast": Query(_history_and_forecast, "kind:s Date:d Revenue:4 COGS:4"),
 }
