@@ -54,7 +54,7 @@ def fit_ensemble(matrix: DataFrame, cfg: SeriesConfig, estimators: Mapping[str,
         StorageLevel.MEMORY_AND_DISK)
     try:
         with ThreadPoolExecutor(max_workers=len(estimators)) as pool:
-            jobs = {n: pool.submit(inheritable_thread_target(e.fit), rows) for n, e in estimators.items()}
+            jobs = {n: pool.submit(inheritable_thread_target(matrix.sparkSession)(e.fit), rows) for n, e in estimators.items()}
             models = {n: job.result() for n, job in jobs.items()}
     finally:
         rows.unpersist()
