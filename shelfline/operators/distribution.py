@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELLS = 256
+FAN = 16  # a cell is found in two steps of FAN comparisons
 SAMPLES_PER_CELL = 16
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    """How often each (keys, value) occurs; rows without a key or value are left out."""
+    return df.na.drop(subset=[*keys, value]).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def ordered_counts(counts: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
@@ -36,11 +38,19 @@ def ordered_counts(counts: DataFrame, keys: Sequence[str], value: str, cells: in
     borders = drawn.select(F.transform(
         F.sequence(F.lit(1), F.lit(cells - 1)),
         lambda i: F.get("_drawn", F.floor(i * F.size("_drawn") / cells).cast("int"))).alias("_borders"))
-    placed = (counts.crossJoin(F.broadcast(borders))  # one row of fixed size
-              .withColumn("_cell", F.size(F.filter("_borders", lambda b: b < F.col(value).cast("double"))))
-              .drop("_borders"))
+    borders = borders.select("_borders", F.transform(F.sequence(F.lit(1), F.lit(cells // FAN - 1)),
+                                                     lambda i: F.get("_borders", i * FAN - 1)).alias("_coarse"))
+    below = lambda edges: F.size(F.filter(edges, lambda b: b < F.col("_x")))
     cell_keys = [*keys, "_cell"]
-    offsets = placed.groupBy(*cell_keys).agg(F.sum("copies").alias("_in_cell"))
+    placed = (counts.withColumn("_x", F.col(value).cast("double"))  # converted once, not per comparison
+              .crossJoin(F.broadcast(borders))  # one row of fixed size
+              .withColumn("_part", below(F.col("_coarse")) * FAN)
+              .withColumn("_cell", F.col("_part") + below(F.slice("_borders", F.col("_part") + 1, FAN)))
+              .select(*keys, value, "copies", "_cell").repartition(*cell_keys))
+    # The totals look at the values as well (a condition that always holds), so
+    # that totals and rows read one shuffle and the cells are found only once.
+    offsets = (placed.groupBy(*cell_keys).agg(F.sum("copies").alias("_in_cell"), F.max(value).alias("_top"))
+               .where(F.col("_top").isNotNull()))
     run = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = run.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(*cell_keys, F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_offset"))
@@ -112,17 +122,17 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def density(df: DataFrame, value: str, points: int) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid between the extremes.
 
-    Every record adds to all ``points`` grid points; the sums combine on the map
-    side, so each task sends ``points`` rows through the shuffle.
+    Every distinct value adds to all ``points`` grid points; the sums combine on
+    the map side, so each task sends ``points`` rows through the shuffle.
     """
-    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))
-    shape = x.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_s"),
-                  F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    x = value_counts(df.select(F.col(value).cast("double").alias("_x")), [], "_x")
+    shape = df.select(F.col(value).cast("double").alias("_x")).agg(
+        F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     grid = x.crossJoin(F.broadcast(shape)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)
     width = F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     z = (at - F.col("_x")) / width
-    return (grid.groupBy("point", "_n", "_s", "_lo", "_hi").agg(F.sum(F.exp(-0.5 * z * z)).alias("_k"))
+    return (grid.groupBy("point", "_n", "_s", "_lo", "_hi").agg(F.sum(F.col("copies") * F.exp(-0.5 * z * z)).alias("_k"))
             .select("point", at.alias("x"),
                     (F.col("_k") / (F.col("_n") * width * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")))
 

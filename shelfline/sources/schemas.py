@@ -17,7 +17,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "orders": _schema(order_id=_L, order_date=_DT, customer_id=_L, order_status=_S, order_source=_S,
                       payment_method=_S, zip=_S),
     "order_items": _schema(order_id=_L, product_id=_L, quantity=_I, unit_price=_D, discount_amount=_D,
-                           promo_id=_S),
+                           promo_id=_S, order_item_id=_L, refund_amount=_D),
     "products": _schema(product_id=_L, product_name=_S, category=_S, segment=_S, size=_S, price=_D, cogs=_D),
     "customers": _schema(customer_id=_L, age_group=_S, gender=_S, acquisition_channel=_S),
     "geography": _schema(zip=_S, region=_S),

@@ -6,11 +6,12 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.operators.keyed import first_per_key
 from shelfline.sources.files import read_table
-from shelfline.sources.schemas import missing_columns
+from shelfline.sources.master import build_master, lines_once, order_lines
+from shelfline.sources.schemas import missing_columns, require_columns
 
 
 class TableRegistry:
@@ -119,11 +120,28 @@ class CsvTables(RetailTables):
     def promotions(self) -> DataFrame:
         return self._read("promotions")
 
+    def _lines(self) -> DataFrame | None:
+        """The stored denormalised lines, if the folder has them."""
+        try:
+            return self._read("master_table")
+        except AnalysisException:
+            return None
+
+    def _built_lines(self) -> DataFrame:
+        items = require_columns(self.order_items(), ["order_item_id"], "order_items")
+        refund = F.col("refund_amount") if "refund_amount" in items.columns else F.lit(None)
+        return order_lines(items, "double").withColumn("refund_amount", refund.cast("double"))
+
     def master(self, columns: Sequence[str]) -> DataFrame:
-        return self._read("master_table").select(*columns)
+        lines = self._lines()
+        if lines is not None:
+            return lines.select(*columns)
+        return build_master(self._built_lines(), self.orders(), self.products(), columns, "double")
 
     def master_once(self, columns: Sequence[str]) -> DataFrame:
-        lines = self._read("master_table")
-        order = [c for c in lines.columns if c != "order_item_id"]
-        keep = [c for c in columns if c != "order_item_id"]
-        return first_per_key(lines, ["order_item_id"], order, keep).select(*columns)
+        lines = self._lines()
+        if lines is None:
+            items = self._built_lines()
+            once = lines_once(items, [c for c in items.columns if c != "order_item_id"])
+            return build_master(once, self.orders(), self.products(), columns, "double")
+        return lines_once(lines, [c for c in lines.columns if c != "order_item_id"]).select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.functions import label_map, month_start
-from shelfline.sources.master import build_master, lines_once, order_lines
+from shelfline.sources.master import build_master, lines_once
 from shelfline.sources.tables import RetailTables
 
 
@@ -19,6 +19,26 @@ def _nth(index: Column, *labels) -> Column:
     return out.otherwise(labels[-1])
 
 
+# Prices have two decimals and discounts whole percents, so amounts are whole
+# numbers of cents or of 1/10000. Decimals are made from them once, and late.
+
+def _cents() -> Column:
+    return F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+
+
+def _percent() -> Column:
+    return F.rint(F.col("l_discount") * 100).cast("bigint")
+
+
+def _exact(units: Column, digits: int, kind: str = "decimal(18,4)") -> Column:
+    unit = F.lit("0." + "0" * (digits - 1) + "1").cast(f"decimal({digits},{digits})")
+    return (units.cast("decimal(18,0)") * unit).cast(kind)
+
+
+def _promo_id(product: Column) -> Column:
+    return F.concat(F.lit("PROMO-"), F.lpad((product % 50 + 1).cast("string"), 4, "0"))
+
+
 class ParquetTestbed(RetailTables):
     # How generated codes stand for retail labels.
     SOURCES = {"1-URGENT": "organic_search", "2-HIGH": "paid_search", "3-MEDIUM": "social_media",
@@ -26,8 +46,8 @@ class ParquetTestbed(RetailTables):
     TRAFFIC = {"click": "organic_search", "view": "paid_search", "signup": "social_media",
                "purchase": "email_campaign"}
     CATEGORIES = {"ECONOMY": "Streetwear", "STANDARD": "Outdoor"}
-    LINE_ORDER = ("order_id", "product_id", "src_supplier", "src_shipdate", "quantity", "line_revenue",
-                  "discount_amount", "promo_id", "refund_amount")
+    LINE_ORDER = ("order_id", "product_id", "src_supplier", "src_shipdate", "quantity", "net", "off", "has_promo",
+                  "refund")
 
     def _raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}.parquet")
@@ -59,15 +79,13 @@ class ParquetTestbed(RetailTables):
             _nth(F.col("o_custkey") % 5, 1, 3, 6, 9, 12).alias("installments"))
 
     def order_items(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
-        rate = F.col("l_discount").cast("decimal(4,2)")
-        promo = F.concat(F.lit("PROMO-"), F.lpad((F.col("l_partkey") % 50 + 1).cast("string"), 4, "0"))
+        cents, percent = _cents(), _percent()
         return self._raw("lineitem").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"), price.alias("unit_price"),
-            F.when(F.col("l_discount") > 0, (price * rate).cast("decimal(18,4)")).alias("discount_amount"),
-            F.when(rate >= F.lit("0.06").cast("decimal(4,2)"), promo).alias("promo_id"),
+            F.col("l_quantity").cast("int").alias("quantity"), _exact(cents, 2, "decimal(12,2)").alias("unit_price"),
+            F.when(F.col("l_discount") > 0, _exact(cents * percent, 4)).alias("discount_amount"),
+            F.when(percent >= 6, _promo_id(F.col("l_partkey"))).alias("promo_id"),
             F.col("l_suppkey").alias("src_supplier"), F.col("l_returnflag").alias("src_flag"),
             F.col("l_shipdate").cast("date").alias("src_shipdate"))
 
@@ -139,15 +157,29 @@ class ParquetTestbed(RetailTables):
             (sold / (F.lit(1.0) * sold + stocked)).alias("sell_through_rate"))
 
     def _lines(self) -> DataFrame:
-        refund = F.when(F.col("src_flag") == "R", F.col("unit_price").cast("decimal(18,4)"))
-        return order_lines(self.order_items()).withColumn("refund_amount", refund)
+        """Order lines in whole numbers only: small to shuffle and quick to compare."""
+        cents, percent, quantity = _cents(), _percent(), F.col("l_quantity").cast("int")
+        return self._raw("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("src_supplier"), F.col("l_shipdate").cast("date").alias("src_shipdate"),
+            quantity.alias("quantity"), (quantity * cents * 100 - cents * percent).alias("net"),
+            F.when(F.col("l_discount") > 0, cents * percent).alias("off"), (percent >= 6).alias("has_promo"),
+            F.when(F.col("l_returnflag") == "R", cents * 100).alias("refund"))
+
+    def _typed(self, lines: DataFrame) -> DataFrame:
+        own = [c for c in lines.columns if c not in ("net", "off", "has_promo", "refund")]
+        return lines.select(
+            *own, _exact(F.col("net"), 4).alias("line_revenue"), _exact(F.col("off"), 4).alias("discount_amount"),
+            F.when(F.col("has_promo"), _promo_id(F.col("product_id"))).alias("promo_id"),
+            _exact(F.col("refund"), 4).alias("refund_amount"))
 
     def master(self, columns: Sequence[str]) -> DataFrame:
-        return build_master(self._lines(), self._order_facts(), self.products(), columns)
+        return build_master(self._typed(self._lines()), self._order_facts(), self.products(), columns)
 
     def master_once(self, columns: Sequence[str]) -> DataFrame:
-        lines = lines_once(self._lines().drop("src_flag", "unit_price"), self.LINE_ORDER)
-        return build_master(lines, self._order_facts(), self.products(), columns)
+        lines = lines_once(self._lines(), self.LINE_ORDER)
+        return build_master(self._typed(lines), self._order_facts(), self.products(), columns)
 
     def sales(self) -> DataFrame:
         lines = self.master(["order_date", "line_revenue", "line_cogs"])

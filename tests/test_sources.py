@@ -83,6 +83,20 @@ def test_dashboard_tables_on_csv(csv):
     assert sum(v > 0 for v in cells.values()) == 2  # a negative supply has no bucket
 
 
+def test_master_is_built_where_no_file_has_it(spark, tmp_path):
+    for name in ("orders", "products"):
+        (tmp_path / f"{name}.csv").write_text(FILES[name])
+    (tmp_path / "order_items.csv").write_text(
+        "order_item_id,order_id,product_id,quantity,unit_price,discount_amount,promo_id\n"
+        "1,1,100,2,10.0,,\n1,1,100,2,10.0,,\n2,4,101,3,5.0,1.0,PROMO-0001\n")
+    t = CsvTables(spark, str(tmp_path))
+    columns = ["order_item_id", "order_status", "category", "line_revenue", "line_cogs", "refund_amount"]
+    assert t.master(columns).count() == 3
+    assert sorted(map(tuple, t.master_once(columns).collect())) == [
+        (1, "paid", "Streetwear", 20.0, 8.0, None), (2, "shipped", "Outdoor", 14.0, 12.0, None)]
+    assert t.master_once(["order_item_id", "line_revenue"]).count() == 2
+
+
 def test_quantity_is_added_only_where_missing(csv):
     orders = promo.order_promo(csv)
     assert promo.with_quantity(orders, csv.master(["order_id", "quantity"])) is orders
