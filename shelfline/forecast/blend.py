@@ -35,32 +35,48 @@ def weight_grid(n_models: int, steps: int) -> np.ndarray:
     return np.array(list(fill(steps, n_models)), dtype=float) / steps
 
 
-def learn_blend(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
-    """Best candidate per series by mean absolute error; the first one wins a tie.
+def _score(rows: pd.DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Median correction and mean absolute error of every candidate on one series' hold-out days."""
+    rows = rows.sort_values("ds")
+    truth = rows["y"].to_numpy(float)[:, None]
+    preds = rows[list(models)].to_numpy(float)
+    biases, errors = [], []
+    for start in range(0, len(weights), _CHUNK):
+        raw = preds @ weights[start:start + _CHUNK].T
+        bias = np.median(truth - raw, axis=0) if cfg.median_bias else np.zeros(raw.shape[1])
+        fixed = np.maximum(raw + bias, 0.0) if cfg.clip_negative else raw + bias
+        biases.append(bias)
+        errors.append(np.abs(truth - fixed).mean(axis=0))
+    return np.concatenate(biases), np.concatenate(errors)
+
+
+def score_candidates(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
+    """Every candidate's weights, correction and error per series.
 
     A series has one row per hold-out day, so each group is small; the candidates
-    travel with the function and no row-by-candidate table is ever built.
+    travel with the function and no day-by-candidate table is ever built.
     """
-    models = list(models)
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        bias, error = _score(rows, models, weights, cfg)
+        return pd.DataFrame({"unique_id": rows["unique_id"].iloc[0], "candidate": np.arange(len(weights)),
+                             "weights": list(weights), "bias": bias, "validation_mae": error})
+
+    return _known(evaluated, models).groupBy("unique_id").applyInPandas(score, BLEND_SCHEMA)
+
 
+def learn_blend(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
+    """The candidate with the lowest error per series; the first one wins a tie."""
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ds")
-        truth = rows["y"].to_numpy(float)[:, None]
-        preds = rows[models].to_numpy(float)
-        found = []
-        for start in range(0, len(weights), _CHUNK):
-            raw = preds @ weights[start:start + _CHUNK].T
-            bias = np.median(truth - raw, axis=0) if cfg.median_bias else np.zeros(raw.shape[1])
-            fixed = np.maximum(raw + bias, 0.0) if cfg.clip_negative else raw + bias
-            mae = np.abs(truth - fixed).mean(axis=0)
-            at = int(np.argmin(np.round(mae, 6)))
-            found.append((round(float(mae[at]), 6), start + at, float(bias[at]), float(mae[at])))
-        _, at, bias, mae = min(found)
+        bias, error = _score(rows, models, weights, cfg)
+        at = int(np.argmin(np.round(error, 6)))
         return pd.DataFrame({"unique_id": [rows["unique_id"].iloc[0]], "candidate": [at], "weights": [weights[at]],
-                             "bias": [bias], "validation_mae": [mae]})
+                             "bias": [bias[at]], "validation_mae": [error[at]]})
+
+    return _known(evaluated, models).groupBy("unique_id").applyInPandas(search, BLEND_SCHEMA)
+
 
-    known = evaluated.na.drop(subset=["y", *models]).select("unique_id", "ds", "y", *models)
-    return known.groupBy("unique_id").applyInPandas(search, BLEND_SCHEMA)
+def _known(evaluated: DataFrame, models: Sequence[str]) -> DataFrame:
+    return evaluated.na.drop(subset=["y", *models]).select("unique_id", "ds", "y", *models)
 
 
 def blended(models: Sequence[str], cfg: BlendConfig) -> Column:

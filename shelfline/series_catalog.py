@@ -10,7 +10,7 @@ from shelfline.catalog import Query
 from shelfline.config import ForecastConfig, SeriesConfig, TrendBreakConfig, quick_ensemble
 from shelfline.forecast import baseline, series as S
 from shelfline.forecast.attribution import top_features
-from shelfline.forecast.blend import apply_blend, learn_blend, weight_candidates, weight_grid
+from shelfline.forecast.blend import apply_blend, learn_blend, score_candidates, weight_candidates, weight_grid
 from shelfline.forecast.calendar import DATE_FEATURES, add_calendar, harmonic_columns, onehot_columns
 from shelfline.forecast.features import feature_matrix, feature_names, prefixed
 from shelfline.forecast.metrics import forecast_metrics, model_errors, nested_evaluation
@@ -60,6 +60,13 @@ def _profile_leakage(t: RetailTables) -> DataFrame:
     return pick(w.train_profile, "train").join(pick(w.full_profile, "full"), ["unique_id", "woy_week"])
 
 
+def _candidates(t: RetailTables) -> DataFrame:
+    """All random candidates scored on the hold-out of every series."""
+    w, count = workspace(t), len(baseline.BASELINES)
+    scored = score_candidates(w.judged, baseline.BASELINES, weight_candidates(count, w.blend_cfg), w.blend_cfg)
+    return weights_as_columns(scored, count)
+
+
 def _submission(t: RetailTables) -> DataFrame:
     w = workspace(t)
     return to_submission(w.mixed_baselines(GRID), w.blend_cfg.output, TESTBED)
@@ -176,6 +183,7 @@ SERIES: dict[str, Query] = {
     "model_mae": Query(lambda t: model_errors(workspace(t).judged, baseline.BASELINES), "model:s unique_id:s mae:0"),
     "blend_search": Query(lambda t: weights_as_columns(workspace(t).baseline_blend(GRID), len(baseline.BASELINES)),
                           "unique_id:s candidate:i w1 w2 w3 w4 bias:0 validation_mae:0"),
+    "blend_candidates": Query(_candidates, "unique_id:s candidate:i w1 w2 w3 w4 bias:0 validation_mae:0"),
     "apply_blend": Query(lambda t: workspace(t).judged_blend(GRID), f"{_LONG} y:4 Optimized:0"),
     "forecast_metrics": Query(lambda t: forecast_metrics(workspace(t).judged_blend(GRID), "Optimized"),
                               "unique_id:s mae:0 rmse:0 r2 mape_pct guarded_share days:l"),

@@ -9,6 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the next step then has to shuffle again.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that somebody else made; none of them changes a result's rows."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "shelfline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and Arrow switched on.
 
@@ -18,14 +37,7 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    defaults = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    for key, value in {**defaults, **conf}.items():
+    for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -33,17 +45,20 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (single-machine tests) a temporary folder is
-    made once and set as the checkpoint folder.
+    Only a single-machine session (tests) may leave it unset; it then gets a
+    temporary folder of its own.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfline-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
+        return folder
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfline-"))
+    return context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -182,7 +182,11 @@ class ParquetTestbed(RetailTables):
         return build_master(self._typed(lines), self._order_facts(), self.products(), columns)
 
     def sales(self) -> DataFrame:
-        lines = self.master(["order_date", "line_revenue", "line_cogs"])
-        return lines.groupBy(F.col("order_date").alias("date")).agg(
-            F.sum("line_revenue").cast("decimal(18,4)").alias("revenue"),
-            F.sum("line_cogs").cast("decimal(18,4)").alias("cogs"))
+        """Daily totals. Lines are summed per order before they meet the orders."""
+        costs = self.products().select("product_id", "cogs")
+        lines = self._lines().select("order_id", "product_id", "net", "quantity").join(costs, "product_id")
+        orders = lines.groupBy("order_id").agg(F.sum("net").alias("net"),
+                                               F.sum(F.col("quantity") * F.col("cogs")).alias("cogs"))
+        days = (orders.join(self._order_facts().select("order_id", "order_date"), "order_id")
+                .groupBy(F.col("order_date").alias("date")).agg(F.sum("net").alias("net"), F.sum("cogs").alias("cogs")))
+        return days.select("date", _exact(F.col("net"), 4).alias("revenue"), F.col("cogs").cast("decimal(18,4)").alias("cogs"))

@@ -61,6 +61,16 @@ def test_blend_is_the_first_best_candidate(judged):
         assert found[uid].validation_mae <= min(errors[:3])
 
 
+def test_all_candidates_are_scored(judged):
+    cfg = BlendConfig(random_draws=600)
+    weights = B.weight_candidates(3, cfg)
+    scores = B.score_candidates(judged, MODELS, weights, cfg).toPandas()
+    best = {r.unique_id: r for r in B.learn_blend(judged, MODELS, weights, cfg).collect()}
+    assert len(scores) == 2 * len(weights)
+    for uid, part in scores.groupby("unique_id"):
+        assert part["validation_mae"].min() == pytest.approx(best[uid].validation_mae)
+
+
 def test_apply_blend_gives_the_learned_error(judged):
     cfg = BlendConfig(random_draws=50)
     found = B.learn_blend(judged, MODELS, B.weight_candidates(3, cfg), cfg)
