@@ -80,9 +80,8 @@ def cutoff(series: DataFrame, test_days: int) -> DataFrame:
 
 def with_part(series: DataFrame, test_days: int) -> DataFrame:
     """The series with ``part`` = train or test."""
-    edge = F.broadcast(cutoff(series, test_days))  # one row
-    return series.crossJoin(edge).select(
-        *series.columns, F.when(F.col("ds") <= F.col("cutoff"), "train").otherwise("test").alias("part"))
+    edge = cutoff(series, test_days).scalar()
+    return series.withColumn("part", F.when(F.col("ds") <= edge, "train").otherwise("test"))
 
 
 def split(series: DataFrame, test_days: int) -> tuple[DataFrame, DataFrame]:

@@ -178,15 +178,12 @@ def source_quality(t: RetailTables) -> DataFrame:
 
 # --- orders inside the traffic window ----------------------------------------
 
-def traffic_span(t: RetailTables) -> DataFrame:
-    return t.web_traffic().agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
-
-
 def window_orders(t: RetailTables) -> DataFrame:
     """Valid orders dated within the traffic history, both ends included."""
-    span = F.broadcast(traffic_span(t))  # one row
-    return (_valid(t).crossJoin(span).where(F.col("order_date").between(F.col("_from"), F.col("_to")))
-            .select("order_id", "customer_id", "order_date", "order_status", "order_source"))
+    dates = t.web_traffic()
+    first, last = (dates.select(fn("date")).scalar() for fn in (F.min, F.max))
+    return _valid(t).where(F.col("order_date").between(first, last)).select(
+        "order_id", "customer_id", "order_date", "order_status", "order_source")
 
 
 def window_lines(t: RetailTables, columns: tuple[str, ...] = (
