@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,14 +21,28 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that somebody else made; none of them changes a result's rows."""
+    """Prepare a session that somebody else made; nothing here changes a result's rows."""
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.join(tempfile.mkdtemp(prefix="shelfline-package-"), "shelfline")
+        context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(context.applicationId)
+
+
 def build_session(app: str = "shelfline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and Arrow switched on.
 
@@ -39,7 +54,9 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
