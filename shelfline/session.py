@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,6 +23,7 @@ SETTINGS = {
 
 
 _shipped: set[str] = set()
+_to_clear: set[str] = set()
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -78,9 +80,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def work_root(spark: SparkSession) -> str:
+    """Folder of this application inside the shared folder; `clear_work` removes it."""
+    context = spark.sparkContext
+    root = os.path.join(shared_folder(spark), f"work-{context.applicationId}")
+    if context.applicationId not in _to_clear:
+        _to_clear.add(context.applicationId)
+        atexit.register(_clear_at_exit, spark, context.applicationId)
+    return root
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(work_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that `work_path` named, through the file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all work folders of this application; frames that read them are void from then on."""
+    remove_path(spark, work_root(spark))
+
+
+def _clear_at_exit(spark: SparkSession, application: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and context.applicationId == application:
+        clear_work(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
