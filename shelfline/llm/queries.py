@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, chat, mixing, pii, quality, simhash
+from shelfline.llm import bpe, chat, language, mixing, pii, quality, simhash, substrings, toxicity, vectors
 from shelfline.llm.common import table
 
 #: Production parameters.
@@ -30,10 +30,28 @@ def tokenizer_path() -> str:
     return module.path(TOKENIZER)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    flags = docs.select(F.struct("doc_id", language.held_out().alias("held_out")).alias("doc_id"), "text")
+    return language.identify(flags, model).select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    flags = docs.select(F.struct("doc_id", toxicity.held_out().alias("held_out")).alias("doc_id"), "text")
+    return toxicity.score(flags, model).select("doc_id.doc_id", "doc_id.held_out", "score", "predicted")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -47,6 +65,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,9 +83,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_vectors": op2_vectors,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
+    "op7_substrings": op7_substrings,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
@@ -99,7 +125,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id"""
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
 ORACLES: dict[str, str] = {
+    "op2_vectors": VECTORS_SQL,
     "op5_quality": QUALITY_SQL,
     "op6_chat": CHAT_SQL,
     "op10_mixing": mixing.mix_sql(MIX),

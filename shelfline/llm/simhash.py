@@ -6,8 +6,9 @@ two flipped bits (1 + 64 + 2016 of them), variants are shuffled, and
 fingerprints that meet on a variant are linked and verified.
 
 All variants at once would take some 20 kB a fingerprint. The variant space is
-therefore cut into eight slices by a linear colour: bit i has colour i mod 8,
-and a variant's slice is the exclusive-or of the colours of its set bits. A
+therefore cut into eight slices (more for very many fingerprints) by a linear
+colour: bit i has colour i mod 8, and a variant's slice is the exclusive-or of
+the colours of its set bits. A
 fingerprint knows which flips lead into a slice, so slices are made one after
 another without generating the rest, and the shuffle files of one slice are
 gone before the next. Variants travel packed: eight bytes for the variant and
@@ -36,9 +37,10 @@ from shelfline.llm.common import components, kept_path, per_batch
 from shelfline.session import remove_path, stored
 
 BITS, RADIUS, SEED = 64, 4, 42
+#: Slices; doubled up to BITS while the groups of a slice would be more than GROUPS.
 COLOURS = 8
-#: Variants in one group of the shuffle (ten bytes each).
-GROUP_VARIANTS = 2_000_000
+#: Variants in one group of the shuffle (ten bytes each), and the most groups that rows are packed for.
+GROUP_VARIANTS, GROUPS = 500_000, 1 << 16
 #: Hashes whose bits are counted in one step.
 STEP_HASHES = 1 << 16
 
@@ -53,15 +55,11 @@ def _flips() -> np.ndarray:
 FLIPS = _flips()
 
 
-def colour(values: np.ndarray) -> np.ndarray:
-    """Exclusive-or of (i mod COLOURS) over the set bits i."""
+def colour(values: np.ndarray, colours: int) -> np.ndarray:
+    """Exclusive-or of (i mod colours) over the set bits i."""
     bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    weights = np.arange(BITS) % COLOURS
-    return sum(((bits[:, weights & (1 << k) > 0].sum(1) & 1) << k) for k in range(COLOURS.bit_length() - 1))
-
-
-FLIP_COLOUR = colour(FLIPS)
-FLIPS_OF = [np.flatnonzero(FLIP_COLOUR == c).astype(np.uint16) for c in range(COLOURS)]
+    weights = np.arange(BITS) % colours
+    return sum(((bits[:, weights & (1 << k) > 0].sum(1) & 1) << k) for k in range(colours.bit_length() - 1))
 
 
 def shingle_hashes(words: list[bytes], size: int = 4) -> np.ndarray:
@@ -89,16 +87,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                      f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _emit(part: int, groups: int):
+def _emit(part: int, colours: int, groups: int):
     """The variants of one slice, packed by group."""
+    of_flip = colour(FLIPS, colours)
+    flips_of = [np.flatnonzero(of_flip == c).astype(np.uint16) for c in range(colours)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             found, flips = [], []
-            own = colour(values)
-            for c in range(COLOURS):
-                mine, kind = values[own == c], FLIPS_OF[c ^ part]
+            own = colour(values, colours)
+            for c in range(colours):
+                mine, kind = values[own == c], flips_of[c ^ part]
                 found.append((mine[:, None] ^ FLIPS[kind]).ravel())
                 flips.append(np.tile(kind, len(mine)))
             found, flips = np.concatenate(found), np.concatenate(flips)
@@ -133,10 +133,12 @@ def ball_links(fps: DataFrame) -> DataFrame:
     own = kept_path(fps.select("fp").where("fp is not null").distinct(), "fingerprints")
     values = spark.read.parquet(own)
     count = values.count()
-    groups = min(60_000, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             -(-count * len(FLIPS) // COLOURS // GROUP_VARIANTS)))
-    for part in range(COLOURS):
-        packed = values.mapInArrow(_emit(part, groups), "grp int, variants binary, flips binary")
+    colours = COLOURS
+    while colours < BITS and count * len(FLIPS) > colours * GROUPS * GROUP_VARIANTS:
+        colours *= 2
+    groups = min(GROUPS, 1 + count * len(FLIPS) // colours // GROUP_VARIANTS)
+    for part in range(colours):
+        packed = values.mapInArrow(_emit(part, colours, groups), "grp int, variants binary, flips binary")
         paths.append(kept_path(packed.groupBy("grp").applyInArrow(_meet, "a long, b long"), f"slice{part}"))
     found = spark.read.parquet(*paths).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     path = kept_path(found, "fingerprint-links")
