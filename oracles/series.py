@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shelfline.config import SeriesConfig
+from shelfline.config import BlendConfig, SeriesConfig
+from shelfline.forecast.blend import weight_candidates
 
 REGIME = "BETWEEN DATE '1999-01-01' AND DATE '2000-06-30'"
 MODELS = ("seasonal_728", "seasonal_735", "seasonal_742", "week_mean")
@@ -78,14 +79,16 @@ SELECT e.unique_id, e.ds, e.y, COALESCE(s1, woy_profile_mean) AS seasonal_728, C
   COALESCE(s3, woy_profile_mean) AS seasonal_742, woy_profile_mean AS week_mean
 FROM (SELECT *, LAG(y, 728) OVER l AS s1, LAG(y, 735) OVER l AS s2, LAG(y, 742) OVER l AS s3 FROM ser WINDOW l AS (PARTITION BY unique_id ORDER BY ds)) e
 JOIN prof_train p ON p.unique_id = e.unique_id AND p.woy_week = WEEKOFYEAR(e.ds) WHERE e.ds > (SELECT cutoff FROM cut)""",
-"mixes": """
-SELECT ROW_NUMBER() OVER (ORDER BY a, b, c) - 1 AS candidate, a / 4.0E0 AS w1, b / 4.0E0 AS w2, c / 4.0E0 AS w3, (4 - a - b - c) / 4.0E0 AS w4
-FROM (SELECT UNNEST(range(5)) AS a) x, (SELECT UNNEST(range(5)) AS b) y, (SELECT UNNEST(range(5)) AS c) z WHERE a + b + c <= 4""",
-"blend_best": f"""
-SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY ROUND(validation_mae, 6), candidate) AS rn FROM (
-  SELECT unique_id, candidate, w1, w2, w3, w4, bias, AVG(ABS(y - GREATEST(mix + bias, 0))) AS validation_mae FROM (
-    SELECT unique_id, candidate, w1, w2, w3, w4, y, mix, MEDIAN(y - mix) OVER (PARTITION BY unique_id, candidate) AS bias FROM (
-      SELECT e.*, m.*, {_MIX} AS mix FROM judged e CROSS JOIN mixes m) a) b GROUP BY 1, 2, 3, 4, 5, 6, 7) c) d WHERE rn = 1""",
+"mixes": "SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join([str(i), *(f"{w!r}::DOUBLE" for w in map(float, row))]) + ")"
+    for i, row in enumerate(weight_candidates(len(MODELS), BlendConfig()))) + ") m(candidate, w1, w2, w3, w4)",
+"blend_scores": f"""
+SELECT unique_id, candidate, w1, w2, w3, w4, bias, AVG(ABS(y - GREATEST(mix + bias, 0))) AS validation_mae FROM (
+  SELECT unique_id, candidate, w1, w2, w3, w4, y, mix, MEDIAN(y - mix) OVER (PARTITION BY unique_id, candidate) AS bias FROM (
+    SELECT e.*, m.*, {_MIX} AS mix FROM judged e CROSS JOIN mixes m) a) b GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+"blend_best": """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY ROUND(validation_mae, 6), candidate) AS rn FROM blend_scores) d WHERE rn = 1""",
 "judged_blend": f"""
 SELECT e.*, GREATEST({_MIX} + bias, 0) AS Optimized FROM judged e JOIN blend_best b ON b.unique_id = e.unique_id""",
 "fut": f"""
@@ -109,7 +112,7 @@ SELECT 'blend' AS scenario, unique_id, ds, """ + ", ".join(
     f"ROUND_EVEN(GREATEST(MAX(CASE WHEN unique_id = '{u}' THEN Optimized END), 0), 2) AS {u}" for u in ("Revenue", "COGS"))
     + " FROM mixed GROUP BY ds",
 }
-MATERIALIZED = {"v_master", "v_sales", "ser", "prof_full", "prof_train", "judged", "blend_best", "ahead"}
+MATERIALIZED = {"v_master", "v_sales", "ser", "prof_full", "prof_train", "judged", "mixes", "blend_scores", "blend_best", "ahead"}
 
 
 def _lags() -> str:
@@ -130,14 +133,14 @@ def _metrics() -> str:
 SQL: dict[str, str] = {
     "load_series": "SELECT unique_id, ds, y, is_covid FROM ser",
     "interpolate_gaps": "SELECT unique_id, ds, y_raw, y FROM ser",
-    "regime_flag": "SELECT ds, is_covid AS by_date, 0 AS forced_off, 1 AS forced_on FROM ser WHERE unique_id = 'Revenue'",
+    "regime_flag": "SELECT DISTINCT ds, is_covid AS by_date, 0 AS forced_off, 1 AS forced_on FROM ser",
     "covid_summary": "SELECT is_covid, MIN(ds) AS first_day, MAX(ds) AS last_day, COUNT(DISTINCT ds) AS days FROM ser GROUP BY 1",
     "temporal_split": "SELECT unique_id, ds, y, CASE WHEN ds <= (SELECT cutoff FROM cut) THEN 'train' ELSE 'test' END AS part FROM ser",
     "future_frame": """SELECT 'non_covid' AS scenario, unique_id, ds, 0 AS is_covid FROM fut UNION ALL SELECT 'covid', unique_id, ds, 1 FROM fut
 UNION ALL SELECT 'auto', unique_id, ds, flag FROM fut""",
-    "calendar_features": f"SELECT ds, {CALENDAR} FROM ser WHERE unique_id = 'Revenue'",
-    "week_harmonics": f"SELECT ds, {HARMONICS} FROM ser WHERE unique_id = 'Revenue'",
-    "week_onehot": f"SELECT ds, {ONEHOT} FROM ser WHERE unique_id = 'Revenue'",
+    "calendar_features": f"SELECT DISTINCT ds, {CALENDAR} FROM ser",
+    "week_harmonics": f"SELECT DISTINCT ds, {HARMONICS} FROM ser",
+    "week_onehot": f"SELECT DISTINCT ds, {ONEHOT} FROM ser",
     "woy_profile": "SELECT * FROM prof_full",
     "woy_profile_base": "SELECT * FROM prof_full",
     "woy_recent": "SELECT * FROM prof_full",
@@ -158,6 +161,9 @@ JOIN prof_full p ON p.unique_id = f.unique_id AND p.woy_week = WEEKOFYEAR(f.ds)"
     "baseline_forecast": "SELECT * FROM judged",
     "model_mae": " UNION ALL ".join(f"SELECT '{m}' AS model, unique_id, AVG(ABS(y - {m})) AS mae FROM judged GROUP BY 2" for m in MODELS),
     "blend_search": "SELECT * FROM blend_best",
+    "blend_candidates": "SELECT * FROM blend_scores",
+    "seeded_sample": f"""SELECT unique_id, ds, y FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY ds) AS rn FROM ser) z
+  WHERE rn > {max(SeriesConfig().lags)} ORDER BY md5(unique_id || ':' || ds::VARCHAR || ':42'), unique_id, ds LIMIT 2000""",
     "apply_blend": "SELECT unique_id, ds, y, Optimized FROM judged_blend",
     "forecast_metrics": _metrics(),
     "scenario_blend": "SELECT * FROM mixed",

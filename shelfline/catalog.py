@@ -141,16 +141,16 @@ RETAIL: dict[str, Query] = {
                          "acquisition_channel:s age_group:s customers:l share_pct"),
     "c28_gender_mix": Query(lambda t: tr.customer_mix(t, "gender"),
                             "acquisition_channel:s gender:s customers:l share_pct"),
-    "c28_age_wide": Query(lambda t: tr.customer_mix_wide(t, "age_group", AGES),
+    "c28_age_wide": Query(lambda t: tr.customer_mix_wide(t, "age_group"),
                           "acquisition_channel:s " + " ".join(AGES)),
-    "c28_gender_wide": Query(lambda t: tr.customer_mix_wide(t, "gender", GENDERS),
+    "c28_gender_wide": Query(lambda t: tr.customer_mix_wide(t, "gender"),
                              "acquisition_channel:s " + " ".join(GENDERS)),
     "c29_repeat_rate": Query(tr.repeat_rate, "order_source:s customers:l repeat_customers:l repeat_rate_pct"),
     "c30_share": Query(tr.traffic_revenue_share, "traffic_source:s sessions:l revenue:m traffic_share_pct "
                                                  "revenue_share_pct traffic_minus_revenue_pp"),
     "c30_share_long": Query(tr.traffic_revenue_share_long, "traffic_source:s share_type:s share_pct"),
     "c31_product_pref": Query(tr.product_preference, "order_source:s category:s quantity:l category_share_pct"),
-    "c31_wide": Query(lambda t: tr.product_preference_wide(t, CATEGORIES), "order_source:s " + " ".join(CATEGORIES)),
+    "c31_wide": Query(lambda t: tr.product_preference_wide(t), "order_source:s " + " ".join(CATEGORIES)),
     # promotions
     "promo_share_monthly": Query(promo.monthly_promo_share, "month:d Promo Non-promo"),
     "c09_margin": Query(promo.promo_margin, "promo_group:s revenue:m cogs:m discount:m quantity:l order_items:l "

@@ -143,7 +143,7 @@ class TrendBreakConfig:
 
 @dataclass(frozen=True)
 class AttributionConfig:
-    sample_rows: int = 2000
+    sample_rows: int | None = None  # None: every day
     seed: int = 42
     top: int = 20
 

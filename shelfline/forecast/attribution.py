@@ -31,9 +31,11 @@ def attribute_rows(matrix: DataFrame, trees: TreeArrays, features: Sequence[str]
 
 def top_features(matrix: DataFrame, target: str, trees: TreeArrays, features: Sequence[str],
                  cfg: AttributionConfig) -> DataFrame:
-    """The ``cfg.top`` features by mean absolute contribution over a seeded sample of the target's days."""
-    chosen = seeded_sample(matrix.where(F.col("unique_id") == target).na.drop(), ["unique_id", "ds"],
-                           cfg.sample_rows, cfg.seed).repartition("ds")
+    """The ``cfg.top`` features by mean absolute contribution over the target's days, or a seeded sample of them."""
+    chosen = matrix.where(F.col("unique_id") == target).na.drop()
+    if cfg.sample_rows is not None:
+        chosen = seeded_sample(chosen, ["unique_id", "ds"], cfg.sample_rows, cfg.seed)
+    chosen = chosen.repartition("ds")
     names = F.array(*[F.lit(f) for f in features])
     per_feature = (attribute_rows(chosen, trees, features)
                    .select("unique_id", F.posexplode("contributions").alias("pos", "contribution"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 _ONE_SIDES = {"one_to_one": (True, True), "many_to_one": (False, True), "one_to_many": (True, False)}
 
@@ -13,15 +13,13 @@ _ONE_SIDES = {"one_to_one": (True, True), "many_to_one": (False, True), "one_to_
 def unique_by(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:
     """``df``, failing at run time if a non-NULL key repeats.
 
-    The count runs over the partitioning and order that the following join needs
-    anyway, so the check adds no shuffle of its own.
+    Keys are counted by a combining aggregate, so a hot key is one row per task;
+    only the largest count meets the rows.
     """
-    w = Window.partitionBy(*keys)
-    bad = F.col("_copies") > 1
-    for k in keys:
-        bad = bad & F.col(k).isNotNull()
-    guard = F.when(bad, F.raise_error(F.lit(f"{name}: key {tuple(keys)} is not unique")).cast("boolean")).otherwise(True)
-    return df.withColumn("_copies", F.count(F.lit(1)).over(w)).where(guard).drop("_copies")
+    most = (df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+            .agg(F.max("_copies").alias("_most")))
+    guard = F.when(F.col("_most") > 1, F.raise_error(F.lit(f"{name}: key {tuple(keys)} is not unique")).cast("boolean")).otherwise(True)
+    return df.crossJoin(F.broadcast(most)).where(guard).drop("_most")
 
 
 def contract_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner",

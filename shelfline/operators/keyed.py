@@ -66,4 +66,5 @@ def share_within(df: DataFrame, keys: Sequence[str], column: str, out: str) -> D
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of their key: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    said = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return df.orderBy(F.md5(said), *keys).limit(n)

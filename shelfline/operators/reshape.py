@@ -1,4 +1,4 @@
-"""Long and wide forms with a known set of values (no discovery job)."""
+"""Long and wide forms. A wide form loses no value: it fails on one that is not listed, or lists those that occur."""
 
 from __future__ import annotations
 
@@ -19,6 +19,18 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str,
 
 def to_wide(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence[str],
             fill: float | None = None) -> DataFrame:
-    """One column per listed value; a value that never occurs still gets its column."""
+    """One column per listed value; a value that never occurs still gets its column.
+
+    A value outside the list fails the query. NULL has no column.
+    """
+    known = F.col(column).isin(*values) | F.col(column).isNull()
+    guard = F.when(known, True).otherwise(
+        F.raise_error(F.concat(F.lit(f"{column} has a value without a column: "), F.col(column).cast("string"))).cast("boolean"))
+    df = df.where(guard)
     wide = df.groupBy(*index).pivot(column, list(values)).agg(F.first(value, ignorenulls=True))
     return wide if fill is None else wide.na.fill(fill, subset=list(values))
+
+
+def values_of(df: DataFrame, column: str) -> tuple[str, ...]:
+    """The values that occur, in order; one small job. For columns whose values are headings of a wide form."""
+    return tuple(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect())

@@ -12,6 +12,7 @@ from shelfline import config as C
 from shelfline.functions import average_or_none, percent, safe_ratio, sum0
 from shelfline.operators.keyed import best, group
 from shelfline.operators.distribution import ordered_counts
+from shelfline.plans.traffic import order_facts
 from shelfline.sources import RetailTables
 
 
@@ -21,7 +22,7 @@ def answer(ranking: DataFrame, metric: str, label: str, largest: bool = True) ->
 
 def _order_days(t: RetailTables) -> DataFrame:
     """One row per customer and order day; a customer has at most one row per calendar day."""
-    days = (group(t.orders().select("customer_id", "order_date", "order_id").where(F.col("order_date").isNotNull()),
+    days = (group(order_facts(t).select("customer_id", "order_date", "order_id").where(F.col("order_date").isNotNull()),
                   "customer_id", "order_date")
             .agg(F.count(F.lit(1)).alias("orders"), F.min("order_id").alias("first_order")))
     before = F.lag("order_date").over(Window.partitionBy("customer_id").orderBy("order_date"))
@@ -35,7 +36,7 @@ def order_gaps(t: RetailTables) -> DataFrame:
     a gap of 0, so only the day's first order carries the distance.
     """
     days = _order_days(t)
-    orders = t.orders().select("customer_id", "order_date", "order_id")
+    orders = order_facts(t).select("customer_id", "order_date", "order_id")
     each = orders.join(days, ["customer_id", "order_date"])
     gap = F.when(F.col("order_id") == F.col("first_order"), F.col("days_since")).otherwise(0)
     return each.select("customer_id", "order_id", "order_date", gap.alias("gap_days")).na.drop(subset=["gap_days"])
@@ -82,7 +83,7 @@ def promo_rate(t: RetailTables, prefix: str = C.PROMO_PREFIX) -> DataFrame:
 
 def orders_per_age_group(t: RetailTables) -> DataFrame:
     customers = t.customers().select("customer_id", "age_group").na.drop(subset=["age_group"])
-    counts = group(t.orders().select("customer_id", "order_id"), "customer_id").agg(
+    counts = group(order_facts(t).select("customer_id", "order_id"), "customer_id").agg(
         F.count("order_id").alias("orders"))
     per_group = (customers.join(counts, "customer_id", "left").na.fill(0, subset=["orders"])
                  .groupBy("age_group").agg(F.sum("orders").alias("total_orders"),
@@ -105,7 +106,7 @@ def region_revenue_text(t: RetailTables) -> DataFrame:
 
 
 def cancelled_payments(t: RetailTables) -> DataFrame:
-    cancelled = t.orders().where(F.col("order_status") == C.CANCELLED_STATUS)
+    cancelled = order_facts(t).where(F.col("order_status") == C.CANCELLED_STATUS)
     return group(cancelled, "payment_method").agg(F.count(F.lit(1)).alias("cancellations"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfline import config as C
 from shelfline.functions import month_start, percent, safe_ratio, sum0
 from shelfline.operators.keyed import group, share_of_total, share_within
-from shelfline.operators.reshape import to_long, to_wide
+from shelfline.operators.reshape import to_long, to_wide, values_of
 from shelfline.sources import RetailTables
 
 
@@ -178,20 +178,24 @@ def source_quality(t: RetailTables) -> DataFrame:
 
 # --- orders inside the traffic window ----------------------------------------
 
-def window_orders(t: RetailTables) -> DataFrame:
-    """Valid orders dated within the traffic history, both ends included."""
+def within_traffic(t: RetailTables) -> Column:
+    """Whether an order date lies within the traffic history, both ends included."""
     dates = t.web_traffic()
     first, last = (dates.select(fn("date")).scalar() for fn in (F.min, F.max))
-    return _valid(t).where(F.col("order_date").between(first, last)).select(
+    return F.col("order_date").between(first, last)
+
+
+def window_orders(t: RetailTables) -> DataFrame:
+    """Valid orders dated within the traffic history, both ends included."""
+    return _valid(t).where(within_traffic(t)).select(
         "order_id", "customer_id", "order_date", "order_status", "order_source")
 
 
 def window_lines(t: RetailTables, columns: tuple[str, ...] = (
         "order_id", "customer_id", "order_source", "category", "quantity", "line_revenue")) -> DataFrame:
     """Unique valid order lines whose order lies within the traffic history."""
-    own = list(dict.fromkeys(["order_item_id", "order_id", "order_status", *columns]))
-    lines = t.master_once(own).where(is_valid())
-    return lines.join(window_orders(t).select("order_id"), "order_id", "left_semi").select("order_item_id", *columns)
+    own = list(dict.fromkeys(["order_item_id", "order_id", "order_status", "order_date", *columns]))
+    return t.master_once(own).where(is_valid() & within_traffic(t)).select("order_item_id", *columns)
 
 
 def _window_order_level(t: RetailTables) -> DataFrame:
@@ -258,8 +262,8 @@ def product_preference(t: RetailTables) -> DataFrame:
     return share_within(units, ["order_source"], "quantity", "category_share_pct")
 
 
-def product_preference_wide(t: RetailTables, categories: tuple[str, ...]) -> DataFrame:
-    return to_wide(product_preference(t), ["order_source"], "category", "category_share_pct", categories, 0.0)
+def product_preference_wide(t: RetailTables) -> DataFrame:
+    return to_wide(product_preference(t), ["order_source"], "category", "category_share_pct", values_of(t.products(), "category"), 0.0)
 
 
 # --- customers ----------------------------------------------------------------
@@ -272,7 +276,7 @@ def customer_mix(t: RetailTables, attribute: str) -> DataFrame:
     return share_within(counts, ["acquisition_channel"], "customers", "share_pct")
 
 
-def customer_mix_wide(t: RetailTables, attribute: str, values: tuple[str, ...]) -> DataFrame:
-    return to_wide(customer_mix(t, attribute), ["acquisition_channel"], attribute, "share_pct", values, 0.0)
+def customer_mix_wide(t: RetailTables, attribute: str) -> DataFrame:
+    return to_wide(customer_mix(t, attribute), ["acquisition_channel"], attribute, "share_pct", values_of(t.customers(), attribute), 0.0)
 
 

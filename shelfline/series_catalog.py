@@ -10,9 +10,9 @@ from shelfline.catalog import Query
 from shelfline.config import ForecastConfig, SeriesConfig, TrendBreakConfig, quick_ensemble
 from shelfline.forecast import baseline, series as S
 from shelfline.forecast.attribution import top_features
-from shelfline.forecast.blend import apply_blend, learn_blend, score_candidates, weight_candidates, weight_grid
+from shelfline.forecast.blend import apply_blend, learn_blend, score_candidates, weight_candidates
 from shelfline.forecast.calendar import DATE_FEATURES, add_calendar, harmonic_columns, onehot_columns
-from shelfline.forecast.features import feature_matrix, feature_names, prefixed
+from shelfline.forecast.features import feature_matrix, feature_names
 from shelfline.forecast.metrics import forecast_metrics, model_errors, nested_evaluation
 from shelfline.forecast.profile import LAYERS, annual_peaks, build_profile, peak_preview
 from shelfline.forecast.submission import export_scenarios, history_and_forecast, to_submission
@@ -25,8 +25,9 @@ from shelfline.sources.schemas import SCHEMAS
 
 TESTBED = SeriesConfig(regime_start=date(1999, 1, 1), regime_end=date(2000, 6, 30))
 CONFIG = ForecastConfig(series=TESTBED, ensemble=quick_ensemble(), trend=TrendBreakConfig(break_date=date(1999, 1, 1)))
-GRID = weight_grid(len(baseline.BASELINES), 4)
+MIXES = weight_candidates(len(baseline.BASELINES), CONFIG.blend)
 PRIMARY = "gbt_base"
+SAMPLE_ROWS = 2000
 _spaces: dict[tuple[str, str], Workspace] = {}
 
 
@@ -39,7 +40,8 @@ def workspace(t: RetailTables) -> Workspace:
 
 
 def _days(t: RetailTables) -> DataFrame:
-    return workspace(t).series.where(F.col("unique_id") == TESTBED.targets[0]).select("ds", TESTBED.regime_col)
+    """The days of all series."""
+    return workspace(t).series.select("ds", TESTBED.regime_col).distinct()
 
 
 def _interpolated(t: RetailTables) -> DataFrame:
@@ -69,7 +71,7 @@ def _candidates(t: RetailTables) -> DataFrame:
 
 def _submission(t: RetailTables) -> DataFrame:
     w = workspace(t)
-    return to_submission(w.mixed_baselines(GRID), w.blend_cfg.output, TESTBED)
+    return to_submission(w.mixed_baselines(MIXES), w.blend_cfg.output, TESTBED)
 
 
 def _roundtrip(t: RetailTables) -> DataFrame:
@@ -79,7 +81,7 @@ def _roundtrip(t: RetailTables) -> DataFrame:
 
 def _history_and_forecast(t: RetailTables) -> DataFrame:
     w = workspace(t)
-    return history_and_forecast(w.series, w.mixed_baselines(GRID), w.blend_cfg.output, TESTBED)
+    return history_and_forecast(w.series, w.mixed_baselines(MIXES), w.blend_cfg.output, TESTBED)
 
 
 # --- trained models ------------------------------------------------------------
@@ -120,7 +122,7 @@ def _attribution(t: RetailTables) -> DataFrame:
 def _sample(t: RetailTables) -> DataFrame:
     w = workspace(t)
     picked = w.full_matrix.select("unique_id", "ds", "y")
-    return seeded_sample(picked, ["unique_id", "ds"], w.attribution_cfg.sample_rows, w.attribution_cfg.seed)
+    return seeded_sample(picked, ["unique_id", "ds"], SAMPLE_ROWS, w.attribution_cfg.seed)
 
 
 # --- result columns ----------------------------------------------------------
@@ -181,13 +183,13 @@ SERIES: dict[str, Query] = {
                             _columns(f"{_LONG} y:4", feature_names(TESTBED))),
     "baseline_forecast": Query(lambda t: workspace(t).judged, f"{_LONG} y:4 {_PREDICTIONS}"),
     "model_mae": Query(lambda t: model_errors(workspace(t).judged, baseline.BASELINES), "model:s unique_id:s mae:0"),
-    "blend_search": Query(lambda t: weights_as_columns(workspace(t).baseline_blend(GRID), len(baseline.BASELINES)),
+    "blend_search": Query(lambda t: weights_as_columns(workspace(t).baseline_blend(MIXES), len(baseline.BASELINES)),
                           "unique_id:s candidate:i w1 w2 w3 w4 bias:0 validation_mae:0"),
     "blend_candidates": Query(_candidates, "unique_id:s candidate:i w1 w2 w3 w4 bias:0 validation_mae:0"),
-    "apply_blend": Query(lambda t: workspace(t).judged_blend(GRID), f"{_LONG} y:4 Optimized:0"),
-    "forecast_metrics": Query(lambda t: forecast_metrics(workspace(t).judged_blend(GRID), "Optimized"),
+    "apply_blend": Query(lambda t: workspace(t).judged_blend(MIXES), f"{_LONG} y:4 Optimized:0"),
+    "forecast_metrics": Query(lambda t: forecast_metrics(workspace(t).judged_blend(MIXES), "Optimized"),
                               "unique_id:s mae:0 rmse:0 r2 mape_pct guarded_share days:l"),
-    "scenario_blend": Query(lambda t: workspace(t).mixed_baselines(GRID),
+    "scenario_blend": Query(lambda t: workspace(t).mixed_baselines(MIXES),
                             f"scenario:s {_LONG} {_PREDICTIONS} Optimized:0"),
     "submission_wide": Query(_submission, "Date:d Revenue:2 COGS:2"),
     "export_roundtrip": Query(_roundtrip, "Date:d Revenue:2 COGS:2"),

@@ -95,6 +95,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(work_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that `work_path` named, through the file system it is on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

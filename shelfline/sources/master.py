@@ -31,17 +31,18 @@ def build_master(lines: DataFrame, orders: DataFrame, products: DataFrame, colum
                  money: str = "decimal(18,4)") -> DataFrame:
     """Join only what ``columns`` need.
 
-    Every item has its order and product (the keys are foreign keys), so a look-up
-    table whose columns are not asked for is not joined at all.
+    Every line counts in every query: one without its order or product keeps NULL
+    in those columns. So a look-up table whose columns are not asked for need not
+    be joined, and any column list gives the same lines.
     """
     wanted = list(columns)
     out = lines
     if set(wanted) & set(ORDER_COLUMNS):
         own = [c for c in ORDER_COLUMNS if c in wanted]
-        out = out.join(orders.select("order_id", *own), "order_id")
+        out = out.join(orders.select("order_id", *own), "order_id", "left")
     if set(wanted) & {*PRODUCT_COLUMNS, "line_cogs"}:
         own = [c for c in PRODUCT_COLUMNS if c in wanted or (c == "cogs" and "line_cogs" in wanted)]
-        out = out.join(products.select("product_id", *own), "product_id")
+        out = out.join(products.select("product_id", *own), "product_id", "left")
         if "line_cogs" in wanted:
             out = out.withColumn("line_cogs", (F.col("quantity") * F.col("cogs")).cast(money))
     return out.select(*wanted)

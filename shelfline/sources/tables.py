@@ -6,9 +6,9 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfline.session import path_exists
 from shelfline.sources.files import read_table
 from shelfline.sources.master import build_master, lines_once, order_lines
 from shelfline.sources.schemas import missing_columns, require_columns
@@ -112,7 +112,7 @@ class CsvTables(RetailTables):
         return self._read("web_traffic")
 
     def sales(self) -> DataFrame:
-        return self._read("sales").toDF("date", "revenue", "cogs")
+        return self._read("sales").select(F.col("Date").alias("date"), F.col("Revenue").alias("revenue"), F.col("COGS").alias("cogs"))
 
     def inventory(self) -> DataFrame:
         return self._read("inventory")
@@ -121,11 +121,8 @@ class CsvTables(RetailTables):
         return self._read("promotions")
 
     def _lines(self) -> DataFrame | None:
-        """The stored denormalised lines, if the folder has them."""
-        try:
-            return self._read("master_table")
-        except AnalysisException:
-            return None
+        """The stored denormalised lines, if the folder has the file; a file that cannot be read fails."""
+        return self._read("master_table") if path_exists(self.spark, f"{self.base}/master_table.csv") else None
 
     def _built_lines(self) -> DataFrame:
         items = require_columns(self.order_items(), ["order_item_id"], "order_items")

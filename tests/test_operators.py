@@ -165,3 +165,27 @@ def test_box_leaves_outliers_outside(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100]], "k string, v double")
     r = D.box_stats(df, "k", "v").first()
     assert (r.q1, r["median"], r.q3, r.whisker_low, r.whisker_high, r.records) == (2.25, 3.5, 4.75, 1.0, 5.0, 6)
+
+
+def test_wide_form_fails_on_a_value_without_a_column(spark):
+    import pytest
+
+    from shelfline.operators.reshape import to_wide, values_of
+
+    df = spark.createDataFrame([("a", "X", 1.0), ("a", "Y", 2.0), ("b", None, 3.0)], "i string, k string, v double")
+    assert values_of(df, "k") == ("X", "Y")
+    assert {r.i: (r.X, r.Y) for r in to_wide(df, ["i"], "k", "v", ("X", "Y")).collect()} == {"a": (1.0, 2.0), "b": (None, None)}
+    with pytest.raises(Exception, match="without a column"):
+        to_wide(df, ["i"], "k", "v", ("X",)).collect()
+
+
+def test_contract_counts_keys_without_gathering_them(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from shelfline.operators.joins import unique_by
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id")
+    assert unique_by(df, ["k"]).count() == 3000
+    with pytest.raises(Exception, match="not unique"):
+        unique_by(df.unionByName(df.where("id = 1")), ["k"]).collect()

@@ -77,3 +77,14 @@ def test_order_statistics_scan_once(spark):
     df.collect()
     final = plan(df).split("Initial Plan")[0]
     assert final.count("FileScan parquet [l_") == 1 and "ReusedExchange" in final
+
+
+def test_order_questions_leave_customers_alone(spark, tables):
+    from shelfline.plans import questions as q
+
+    scans = lambda df, name: df._jdf.queryExecution().optimizedPlan().toString().count(name)
+    for df in (q.median_gap(tables), q.order_gaps(tables), q.cancelled_payments(tables)):
+        assert scans(df, "c_custkey") == 0
+    from shelfline.plans import traffic
+
+    assert traffic.window_lines(tables)._jdf.queryExecution().optimizedPlan().toString().count("o_orderkey") > 0

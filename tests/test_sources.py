@@ -161,3 +161,20 @@ def test_testbed_keys_hold(spark, tables):
     assert items.join(tables.products(), "product_id", "left_anti").count() == 0
     assert tables.orders().count() == orders.count()
     assert isinstance(tables, ParquetTestbed)
+
+
+def test_sales_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "sales.csv").write_text("COGS,Date,Revenue\n1.0,2020-01-01,100.0\n")
+    row = CsvTables(spark, str(tmp_path)).sales().first()
+    assert (float(row.revenue), float(row.cogs)) == (100.0, 1.0)
+
+
+def test_every_column_list_gives_the_same_lines(spark):
+    from shelfline.sources.master import build_master
+
+    lines = spark.createDataFrame([(1, 10, 100, 2), (2, 11, 100, 1), (3, 10, 101, 1)],
+                                  "order_item_id int, order_id int, product_id int, quantity int")
+    orders = spark.createDataFrame([(10, "done")], "order_id int, order_status string")
+    products = spark.createDataFrame([(100, "a", 1.0)], "product_id int, category string, cogs double")
+    for columns in (["quantity"], ["order_status"], ["category"], ["order_status", "line_cogs"]):
+        assert build_master(lines, orders, products, ["order_item_id", *columns], "double").count() == 3
