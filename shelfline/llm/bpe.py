@@ -39,7 +39,7 @@ USUAL_PIECES = re.compile(rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{BL
                           rf"|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+").findall
 UNUSUAL = re.compile("[^\x00-\x1b -~\xc0-\xd6\xd8-\xf6\xf8-\u017f]").search
 #: Pieces a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
