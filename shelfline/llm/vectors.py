@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import components
 from shelfline.session import stored
 
-THRESHOLD, TABLES, HASHES, PROBES, SEED = 0.98, 12, 2, 3, 11
+#: At 64 dimensions a pair at the threshold itself meets in one of these tables with probability 0.9999.
+THRESHOLD, TABLES, HASHES, PROBES, SEED = 0.98, 7, 2, 2, 11
 #: Entries of a bucket that are compared in one block.
 BLOCK = 1024
 
@@ -76,19 +77,22 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
         vectors = columns["v"].to_pylist()
+        # Components travel in the precision they came in; arithmetic is in double.
+        stored_as = np.float32 if pa.types.is_float32(columns["v"].type.value_type) else np.float64
         rows = {k: [] for k in ("entry", "copies", "label", "width", "tab", "key", "own", "keys", "v")}
         widths = np.array([len(v) for v in vectors])
         for width in np.unique(widths):
             some = np.flatnonzero(widths == width)
-            raw = np.array([vectors[i] for i in some], np.float64)
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+            raw = np.array([vectors[i] for i in some], stored_as)
+            unit = raw.astype(np.float64)
+            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
             keys = np.stack([probes(hashes(unit, t)) for t in range(TABLES)], 1)
             entry, copies, label = (columns[c].take(pa.array(some)).to_pylist() for c in ("entry", "copies", "label"))
             for t in range(TABLES):
                 for row in range(len(some)):
                     for p, key in enumerate(keys[row, t]):
                         for name, value in zip(rows, (entry[row], copies[row], label[row], int(width), t, int(key), p == 0,
-                                                      keys[row].tobytes(), unit[row].tobytes())):
+                                                      keys[row].tobytes(), raw[row].tobytes())):
                             rows[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in HASHED], schema=HASHED)
 
@@ -132,7 +136,9 @@ def _compare(group: pa.Table) -> pa.Table:
     table, width = group.column("tab")[0].as_py(), group.column("width")[0].as_py()
     first, second = group.column("low")[0].as_py(), group.column("high")[0].as_py()
     n = len(entry)
-    unit = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float64).reshape(n, width)
+    packed = b"".join(group.column("v").to_pylist())
+    unit = np.frombuffer(packed, np.float32 if len(packed) == 4 * n * width else np.float64).reshape(n, width).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64).reshape(n, TABLES, -1)
     left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
     cosine = unit[left] @ unit[right].T
@@ -172,7 +178,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     # An entry's number is its place; numbers are made once and stored.
     entries = rows.where("usable").groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"))
     entries = stored(entries.select("label", "v", "copies", "first_id", F.monotonically_increasing_id().alias("entry")), "vector-entries")
-    hashed = entries.select("entry", "copies", F.col("label").cast("int").alias("label"), F.col("v").cast("array<double>").alias("v")) \
+    hashed = entries.select("entry", "copies", F.col("label").cast("int").alias("label"), "v") \
         .mapInArrow(_hashed, HASHED_DDL)
     hashed = stored(hashed, "vector-hashes")
     bucket = ("label", "width", "tab", "key")
