@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.config import LagAgg, SeriesConfig, TreeParams
+from shelfline.forecast.calendar import DateFeature
 from shelfline.forecast.features import feature_names, known_features, known_names, lag_names
 from shelfline.forecast.trees import TreeArrays, tree_arrays
 from shelfline.session import shared_folder
@@ -43,14 +44,19 @@ def assemble(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(matrix)
 
 
-def fit_ensemble(matrix: DataFrame, cfg: SeriesConfig, estimators: Mapping[str, Estimator]) -> Ensemble:
+def fit_ensemble(matrix: DataFrame, cfg: SeriesConfig, estimators: Mapping[str, Estimator],
+                 features: Mapping[str, DateFeature] | None = None) -> Ensemble:
     """One global model per estimator, trained on all series together.
 
     The estimators share the assembled rows and train side by side, as the tuning
-    tools of Spark ML do.
+    tools of Spark ML do. They must be boosted trees: the forecast walks their nodes.
+    ``features`` are the date features that the matrix was made with.
     """
+    other = [n for n, e in estimators.items() if not isinstance(e, GBTRegressor)]
+    if other:
+        raise TypeError(f"not a GBTRegressor: {', '.join(other)}")
     shared_folder(matrix.sparkSession)  # boosting cuts its lineage in the checkpoint folder
-    rows = assemble(matrix.na.drop(subset=["y"]), feature_names(cfg)).select("features", "y").persist(
+    rows = assemble(matrix.na.drop(subset=["y"]), feature_names(cfg, features)).select("features", "y").persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         with ThreadPoolExecutor(max_workers=len(estimators)) as pool:
@@ -87,7 +93,7 @@ def _lag_block(past: np.ndarray, days: int, cfg: SeriesConfig) -> np.ndarray:
 
 
 def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame, cfg: SeriesConfig,
-                       step: int | None = None) -> DataFrame:
+                       step: int | None = None, features: Mapping[str, DateFeature] | None = None) -> DataFrame:
     """Predict every scenario and day of ``future``; each model feeds on its own predictions.
 
     History and future of one series meet in one task: a year of values and the
@@ -97,7 +103,7 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
     step = step or step_size(cfg)
     if step > step_size(cfg):
         raise ValueError(f"at most {step_size(cfg)} days can be predicted at once")
-    known, trees, reach = known_names(cfg), ensemble.trees, memory(cfg)
+    known, trees, reach = known_names(cfg, features), ensemble.trees, memory(cfg)
     recent = history.select("unique_id", "ds", "y").where(F.col("y").isNotNull())
     newest = recent.groupBy("unique_id").agg(F.max("ds").alias("_last"))
     recent = recent.join(newest, "unique_id").where(F.col("ds") > F.date_sub("_last", reach)).drop("_last")
@@ -128,7 +134,8 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
             .applyInPandas(predict, schema))
 
 
-def future_features(future: DataFrame, profile: DataFrame, cfg: SeriesConfig) -> DataFrame:
+def future_features(future: DataFrame, profile: DataFrame, cfg: SeriesConfig,
+                    features: Mapping[str, DateFeature] | None = None) -> DataFrame:
     """The days ahead with every feature known in advance; order matches ``feature_names``."""
-    assert feature_names(cfg) == [*lag_names(cfg), *known_names(cfg)]
-    return known_features(future, profile, cfg)
+    assert feature_names(cfg, features) == [*lag_names(cfg), *known_names(cfg, features)]
+    return known_features(future, profile, cfg, features)

@@ -22,9 +22,8 @@ def to_submission(forecast: DataFrame, column: str, cfg: SeriesConfig, by_scenar
 
 
 def export(submission: DataFrame, path: str, cfg: SeriesConfig, first_day: date | None = None) -> str:
-    """Write the checked submission as one CSV file in date order."""
-    if first_day is not None:
-        check_contract(submission, first_day, cfg.horizon)
+    """Write the submission as one CSV file in date order. It must hold every day of the horizon once."""
+    check_contract(submission, first_day, cfg.horizon)
     return write_csv(submission, path, order=["Date"], single_file=True)
 
 

@@ -7,12 +7,14 @@ and read back by all steps of the session.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.config import ForecastConfig
+from shelfline.forecast.calendar import DateFeature
 from shelfline.forecast import baseline, blend, series as S, trend_break
 from shelfline.forecast.ensemble import Ensemble, build_estimators, fit_ensemble, future_features, recursive_forecast
 from shelfline.forecast.features import feature_matrix
@@ -22,7 +24,10 @@ from shelfline.sources import RetailTables
 
 
 class Workspace:
-    def __init__(self, tables: RetailTables, config: ForecastConfig) -> None:
+    """``features``: date features (name to column function) in place of the usual ones, in fit and forecast alike."""
+
+    def __init__(self, tables: RetailTables, config: ForecastConfig, features: Mapping[str, DateFeature] | None = None) -> None:
+        self.features = features
         self.tables, self.cfg, self.blend_cfg = tables, config.series, config.blend
         self.params, self.trend_cfg, self.attribution_cfg = config.ensemble, config.trend, config.attribution
 
@@ -74,27 +79,27 @@ class Workspace:
 
     @cached_property
     def train_matrix(self) -> DataFrame:
-        return feature_matrix(self.parts[0], self.train_profile, self.cfg)
+        return feature_matrix(self.parts[0], self.train_profile, self.cfg, self.features)
 
     @cached_property
     def full_matrix(self) -> DataFrame:
-        return stored(feature_matrix(self.series, self.full_profile, self.cfg), "matrix")
+        return stored(feature_matrix(self.series, self.full_profile, self.cfg, self.features), "matrix")
 
     @cached_property
     def train_ensemble(self) -> Ensemble:
-        return fit_ensemble(self.train_matrix, self.cfg, build_estimators(self.params))
+        return fit_ensemble(self.train_matrix, self.cfg, build_estimators(self.params), self.features)
 
     @cached_property
     def full_ensemble(self) -> Ensemble:
-        return fit_ensemble(self.full_matrix, self.cfg, build_estimators(self.params))
+        return fit_ensemble(self.full_matrix, self.cfg, build_estimators(self.params), self.features)
 
     @cached_property
     def ensemble_judged(self) -> DataFrame:
         """Hold-out days with the truth and every member's recursive forecast."""
         train, test = self.parts
         days = test.select(F.lit("auto").alias("scenario"), "unique_id", "ds", self.cfg.regime_col)
-        ahead = future_features(days, self.train_profile, self.cfg)
-        predicted = recursive_forecast(self.train_ensemble, train, ahead, self.cfg).drop("scenario")
+        ahead = future_features(days, self.train_profile, self.cfg, self.features)
+        predicted = recursive_forecast(self.train_ensemble, train, ahead, self.cfg, features=self.features).drop("scenario")
         return stored(test.select("unique_id", "ds", "y").join(predicted, ["unique_id", "ds"]), "ensemble-judged")
 
     @cached_property
@@ -110,8 +115,8 @@ class Workspace:
     def scenario_forecasts(self) -> DataFrame:
         """Every scenario of the days ahead, blended, and the mix of the first two."""
         future = S.future_frame(self.series, self.cfg, S.SCENARIOS)
-        ahead = future_features(future, self.full_profile, self.cfg)
-        raw = recursive_forecast(self.full_ensemble, self.series, ahead, self.cfg)
+        ahead = future_features(future, self.full_profile, self.cfg, self.features)
+        raw = recursive_forecast(self.full_ensemble, self.series, ahead, self.cfg, features=self.features)
         each = stored(blend.apply_blend(raw, self.ensemble_blend, self.full_ensemble.names, self.blend_cfg), "scenarios")
         columns = [*self.full_ensemble.names, self.blend_cfg.output]
         return each.unionByName(blend.mix_scenarios(each, S.SCENARIOS[0], S.SCENARIOS[1],

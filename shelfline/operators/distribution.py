@@ -13,8 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CELLS = 256
-FAN = 16  # a cell is found in two steps of FAN comparisons
+FAN = (16, 256)  # a cell is found in two steps of so many comparisons at least and at most
+VALUES_PER_CELL = 65_536
 SAMPLES_PER_CELL = 16
 
 
@@ -23,63 +23,72 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.na.drop(subset=[*keys, value]).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def ordered_counts(counts: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
-    """Per distinct (keys, value) of ``value_counts``: ``below``, the number of smaller values in the key.
+def _borders(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row: cell borders, and every ``_fan``-th of them. They follow the number of counted values.
 
-    The cell borders come from the values with the smallest hashes, a fixed-size
-    sample that does not depend on task order. They only balance the work; the
-    counts are exact whatever the borders are.
+    They come from values whose hash is small, so they do not depend on task
+    order. The row holds at most the square of the larger FAN, 65,536 numbers.
+    """
+    # Looking at ``copies`` keeps the column alive, so that all uses of ``counts``
+    # read one shuffle instead of repeating the scan.
+    size = counts.agg(F.sum(F.least("copies", F.lit(1))).alias("_values"))
+    fan = F.least(F.greatest(F.ceil(F.sqrt(F.col("_values") / VALUES_PER_CELL)), F.lit(FAN[0])), F.lit(FAN[1])).cast("int")
+    size = size.select(fan.alias("_fan"), (F.lit(float(SAMPLES_PER_CELL)) * fan * fan / F.col("_values")).alias("_share"))
+    spot = F.pmod(F.xxhash64(*keys, value), F.lit(1 << 40)) / float(1 << 40)
+    drawn = (counts.where(F.col("copies") > 0).crossJoin(F.broadcast(size)).where(spot < F.col("_share"))
+             .agg(F.max("_fan").alias("_fan"), F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_drawn")))
+    cells = F.col("_fan") * F.col("_fan")
+    borders = drawn.select("_fan", F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.get(
+        "_drawn", F.floor(i * F.size("_drawn") / cells).cast("int"))).alias("_borders"))
+    return borders.select("_fan", "_borders", F.transform(F.sequence(F.lit(1), F.col("_fan") - 1),
+                                                          lambda i: F.get("_borders", i * F.col("_fan") - 1)).alias("_coarse"))
+
+
+def ordered_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per distinct (keys, value) of ``value_counts``: ``below``, the number of smaller values in the key, ``total``, that of
+    all its values, and ``cell``. Borders only balance the work; the counts are exact whatever they are.
     """
     keys = list(keys)
-    # Ordering by ``copies`` too keeps the column alive, so that all three uses of
-    # ``counts`` read the same shuffle instead of repeating the scan.
-    sample = counts.orderBy(F.xxhash64(*keys, value), *keys, value, "copies").limit(cells * SAMPLES_PER_CELL)
-    drawn = sample.agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_drawn"))
-    borders = drawn.select(F.transform(
-        F.sequence(F.lit(1), F.lit(cells - 1)),
-        lambda i: F.get("_drawn", F.floor(i * F.size("_drawn") / cells).cast("int"))).alias("_borders"))
-    borders = borders.select("_borders", F.transform(F.sequence(F.lit(1), F.lit(cells // FAN - 1)),
-                                                     lambda i: F.get("_borders", i * FAN - 1)).alias("_coarse"))
     below = lambda edges: F.size(F.filter(edges, lambda b: b < F.col("_x")))
-    cell_keys = [*keys, "_cell"]
+    cell_keys = [*keys, "cell"]
     placed = (counts.withColumn("_x", F.col(value).cast("double"))  # converted once, not per comparison
-              .crossJoin(F.broadcast(borders))  # one row of fixed size
-              .withColumn("_part", below(F.col("_coarse")) * FAN)
-              .withColumn("_cell", F.col("_part") + below(F.slice("_borders", F.col("_part") + 1, FAN)))
-              .select(*keys, value, "copies", "_cell").repartition(*cell_keys))
+              .crossJoin(F.broadcast(_borders(counts, keys, value)))
+              .withColumn("_part", below(F.col("_coarse")) * F.col("_fan"))
+              .withColumn("cell", F.col("_part") + below(F.slice("_borders", F.col("_part") + 1, F.col("_fan"))))
+              .select(*keys, value, "copies", "cell").repartition(*cell_keys))
     # The totals look at the values as well (a condition that always holds), so
     # that totals and rows read one shuffle and the cells are found only once.
     offsets = (placed.groupBy(*cell_keys).agg(F.sum("copies").alias("_in_cell"), F.max(value).alias("_top"))
                .where(F.col("_top").isNotNull()))
     run = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = run.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(*cell_keys, F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_offset"))
+    before = run.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(*cell_keys, F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_offset"),
+                             F.sum("_in_cell").over(run).alias("total"))
     inside = (Window.partitionBy(*cell_keys).orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     return (placed.withColumn("_local", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
             .join(offsets, cell_keys)
-            .select(*keys, value, "copies", (F.col("_offset") + F.col("_local")).alias("below")))
+            .select(*keys, value, "copies", (F.col("_offset") + F.col("_local")).alias("below"), "total", "cell"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per key: one column per entry of ``probs``."""
-    keys = list(keys)
-    counts = value_counts(df, keys, value)
-    ordered = ordered_counts(counts, keys, value)
-    size = counts.groupBy(*keys).agg(F.sum("copies").alias("_n"))
-    located = ordered.join(size, keys) if keys else ordered.crossJoin(F.broadcast(size))
+    return _quantiles(ordered_counts(value_counts(df, keys, value), keys, value), keys, value, probs)
+
+
+def _quantiles(ordered: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     last = F.col("below") + F.col("copies") - 1
     number = F.col(value).cast("double")
     picks, shape = [], []
     for name, p in probs.items():
-        spot = (F.col("_n") - 1) * F.lit(float(p))
+        spot = (F.col("total") - 1) * F.lit(float(p))
         low, high = F.floor(spot), F.ceil(spot)
         picks += [F.max(F.when((F.col("below") <= low) & (low <= last), number)).alias(f"_lo_{name}"),
                   F.max(F.when((F.col("below") <= high) & (high <= last), number)).alias(f"_hi_{name}"),
                   F.max(spot - low).alias(f"_w_{name}")]
         shape.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_w_{name}"))
                      .alias(name))
-    return located.groupBy(*keys).agg(*picks).select(*keys, *shape)
+    return ordered.groupBy(*keys).agg(*picks).select(*keys, *shape)
 
 
 def percentile_ranks(df: DataFrame, **ranks: str) -> DataFrame:
@@ -89,10 +98,8 @@ def percentile_ranks(df: DataFrame, **ranks: str) -> DataFrame:
     """
     out = df
     for name, value in ranks.items():
-        counts = value_counts(df, [], value)
-        size = counts.agg(F.sum("copies").alias("_n"))
-        place = (F.col("below") + (F.col("copies") + 1) / 2.0) / F.col("_n")
-        ranked = ordered_counts(counts, [], value).crossJoin(F.broadcast(size)).select(value, place.alias(name))
+        place = (F.col("below") + (F.col("copies") + 1) / 2.0) / F.col("total")
+        ranked = ordered_counts(value_counts(df, [], value), [], value).select(value, place.alias(name))
         out = out.join(ranked, value, "left")
     return out
 
@@ -138,12 +145,16 @@ def density(df: DataFrame, value: str, points: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:
-    """Quartiles per key and the extreme values inside ``reach`` interquartile ranges."""
-    clean = df.na.drop(subset=[key, value])
-    quart = exact_quantiles(clean, [key], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles per key and the extreme values inside ``reach`` interquartile ranges.
+
+    The fences meet the counted values cell by cell, so a hot key is as many groups as it has cells.
+    """
+    ordered = ordered_counts(value_counts(df, [key], value), [key], value)
+    quart = _quantiles(ordered, [key], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    fences = ordered.select(key, "cell").distinct().join(quart, key)
     spread = F.col("q3") - F.col("q1")
     x = F.col(value).cast("double")
     inside = (x >= F.col("q1") - spread * reach) & (x <= F.col("q3") + spread * reach)
-    return (clean.join(quart, key).groupBy(key, "q1", "median", "q3")
+    return (ordered.join(fences, [key, "cell"]).groupBy(key, "q1", "median", "q3")
             .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-                 F.count(F.lit(1)).alias("records")))
+                 F.sum("copies").alias("records")))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shelfline import config as C
 from shelfline.functions import average_or_none, percent, safe_ratio, sum0
 from shelfline.operators.keyed import best, group
-from shelfline.operators.distribution import ordered_counts
 from shelfline.plans.traffic import order_facts
 from shelfline.sources import RetailTables
 

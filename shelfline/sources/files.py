@@ -42,16 +42,16 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] | None = None, sing
     day); larger results are written in parallel, range-partitioned if ordered.
     """
     if order is not None:
-        df = df.coalesce(1).sortWithinPartitions(*order) if single_file else df.orderBy(*order)
+        df = df.repartition(1).sortWithinPartitions(*order) if single_file else df.orderBy(*order)
     elif single_file:
-        df = df.coalesce(1)
+        df = df.repartition(1)
     df.write.mode("errorifexists").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
     return path
 
 
 def write_by(df: DataFrame, path: str, column: str) -> str:
-    """One sub-folder per value of ``column``."""
-    (df.repartition(column).write.mode("errorifexists").option("header", True)
+    """One sub-folder per value of ``column``; every task writes its own rows, so a frequent value is many files."""
+    (df.write.mode("errorifexists").option("header", True)
        .option("dateFormat", "yyyy-MM-dd").partitionBy(column).csv(path))
     return path
 
@@ -62,10 +62,12 @@ def contract_facts(wide: DataFrame, date_col: str = "Date") -> DataFrame:
                     F.count(F.lit(1)).alias("rows"), F.countDistinct(date_col).alias("days"))
 
 
-def check_contract(wide: DataFrame, first_day: date, rows: int, date_col: str = "Date") -> None:
-    """Raise unless the forecast starts on ``first_day`` and has exactly ``rows`` rows."""
+def check_contract(wide: DataFrame, first_day: date | None, rows: int, date_col: str = "Date") -> None:
+    """Raise unless the forecast has exactly ``rows`` rows, one a day without gaps, from ``first_day`` (if given) on."""
     facts = contract_facts(wide, date_col).first()
-    if facts["first_day"] != first_day:
+    if first_day is not None and facts["first_day"] != first_day:
         raise ValueError(f"first day is {facts['first_day']}, expected {first_day}")
     if facts["rows"] != rows:
         raise ValueError(f"{facts['rows']} rows, expected {rows}")
+    if rows and not facts["days"] == rows == (facts["last_day"] - facts["first_day"]).days + 1:
+        raise ValueError(f"{facts['days']} different days from {facts['first_day']} to {facts['last_day']}, expected {rows}")

@@ -118,7 +118,9 @@ def test_submission_export(spark, tmp_path):
     text = spark.read.text(path).collect()
     assert [r.value for r in text][:2] == ["Date,Revenue,COGS", "2018-01-01,10.12,0.0"] and len(text) == 4
     with pytest.raises(ValueError):
-        export(wide, str(tmp_path / "two"), CFG, START)
+        export(wide, str(tmp_path / "two"), CFG)
+    with pytest.raises(ValueError, match="different days"):
+        export(wide.withColumn("Date", F.expr("if(Date = '2018-01-03', date'2018-01-04', Date)")), str(tmp_path / "gap"), short)
     both = to_submission(df, "p", CFG, by_scenario=True)
     back = spark.read.schema("Date date, Revenue double, COGS double, scenario string").option("header", True).csv(
         export_scenarios(both, str(tmp_path / "all")))
@@ -217,6 +219,24 @@ def test_recursion_by_block_equals_day_by_day(trained):
         recursive_forecast(ensemble, history, ahead, CFG, 8)
 
 
+def test_own_date_features_reach_the_forecast(trained):
+    history, profile, _ = trained
+    own = {"odd_day": lambda d: F.dayofmonth(d) % 2, "week_day": F.dayofweek}
+    params = dict(list(quick_ensemble(rounds=2, depth=3).items())[:1])
+    ensemble = fit_ensemble(feature_matrix(history, profile, CFG, own), CFG, build_estimators(params), own)
+    ahead = future_features(S.future_frame(history, CFG, horizon=9), profile, CFG, own)
+    assert {"odd_day", "week_day"} <= set(ahead.columns) and "month" not in ahead.columns
+    predicted = recursive_forecast(ensemble, history, ahead, CFG, features=own).toPandas()
+    assert len(predicted) == 3 * 9 and not predicted.isna().any().any()
+
+
+def test_only_boosted_trees_are_members(trained):
+    from pyspark.ml.regression import LinearRegression
+
+    with pytest.raises(TypeError, match="line"):
+        fit_ensemble(trained[0], CFG, {"line": LinearRegression()})
+
+
 def test_one_step_equals_the_feature_matrix(spark, trained):
     """The first block's features and predictions are those of the batch feature builder."""
     history, profile, ensemble = trained

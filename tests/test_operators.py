@@ -130,6 +130,17 @@ def test_quantiles_of_tiny_decimal_and_null_groups(spark):
     assert D.exact_quantiles(df, [], "v", {"m": 0.5}).first().m == 1.5
 
 
+def test_cells_follow_the_number_of_values(spark, monkeypatch):
+    """More cells change the work, never the counts."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"))
+    counts = D.value_counts(df, ["k"], "v")
+    few = D.ordered_counts(counts, ["k"], "v")
+    monkeypatch.setattr(D, "VALUES_PER_CELL", 1)
+    many = D.ordered_counts(counts, ["k"], "v")
+    assert few.agg(F.countDistinct("cell")).first()[0] <= 256 < many.agg(F.countDistinct("cell")).first()[0]
+    assert sorted(few.drop("cell").collect()) == sorted(many.drop("cell").collect())
+
+
 def test_percentile_ranks_equal_pandas(spark):
     pdf = skewed(3000, 2).assign(id=range(3000))
     pdf["w"] = pdf["v"].rank(ascending=False).round(-2)
