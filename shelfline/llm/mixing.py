@@ -26,7 +26,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import BLANKS
 from shelfline.session import stored
 
 LEAF = ("domain", "lang", "source")
@@ -50,8 +49,7 @@ class MixPolicy:
 
 def word_count(text: Column) -> Column:
     """Words of a text; the unit of the budget."""
-    spaced = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)), " +", " "))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]"), "")).cast("long")
 
 
 def _looked_up(key: Column, values: dict, default: Column) -> Column:
