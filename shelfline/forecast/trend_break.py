@@ -1,13 +1,13 @@
 """A trend that may bend at a known date, with seasonal terms and the regime flag.
 
 Fitted in logs, so seasonal effects multiply the level. Every series gets its own
-coefficients; a series is one small group (a row per day).
+coefficients.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfline.config import SeriesConfig, TrendBreakConfig
 from shelfline.forecast.blend import mix_scenarios
 from shelfline.functions import clip
+from shelfline.session import stored
 
-FIT_SCHEMA = "unique_id string, coefficients array<double>, low double, high double"
 BAND = ("yhat_lower", "yhat_upper")
 
 
@@ -34,29 +34,57 @@ def design(cfg: TrendBreakConfig, flag: Column, ds: Column | str = "ds") -> Colu
     return F.array(*terms)
 
 
-def fit(history: DataFrame, series_cfg: SeriesConfig, cfg: TrendBreakConfig) -> DataFrame:
-    """Coefficients per series, and the residual quantiles that make the band."""
-    edge = (1.0 - cfg.band) / 2.0
+def _level(coefficients: str, terms: Column) -> Column:
+    return F.aggregate(F.zip_with(coefficients, terms, lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of products of the terms and the value, for each series in a batch."""
+    for batch in batches:
+        found = [(series, np.column_stack([np.stack(rows["terms"].to_numpy()), rows["log_y"]])) for series, rows in batch.groupby("unique_id")]
+        yield pd.DataFrame({"unique_id": [series for series, _ in found], "products": [(x.T @ x).ravel() for _, x in found]})
+
+
+def _solver(reg_param: float):
+    """Ridge coefficients from a series' sums of products: a system as large as the model has terms."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["terms"].to_numpy())
-        y = rows["log_y"].to_numpy(float)
-        penalty = np.diag(np.r_[0.0, np.full(x.shape[1] - 1, cfg.reg_param * len(y))])
-        beta = np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
-        low, high = np.quantile(y - x @ beta, [edge, 1.0 - edge])
-        return pd.DataFrame({"unique_id": [rows["unique_id"].iloc[0]], "coefficients": [beta],
-                             "low": [min(low, 0.0)], "high": [max(high, 0.0)]})
+    @F.pandas_udf("array<double>")
+    def solve(sums: pd.Series) -> pd.Series:
+        def one(packed: np.ndarray) -> np.ndarray:
+            count = math.isqrt(len(packed))
+            products = np.reshape(packed, (count, count))
+            left, right = products[:-1, :-1], products[:-1, -1]
+            penalty = np.diag(np.r_[0.0, np.full(count - 2, reg_param * left[0, 0])])
+            return np.linalg.lstsq(left + penalty, right, rcond=None)[0]
 
-    usable = history.where(F.col("y") > 0).select(
+        return sums.map(one)
+
+    return solve
+
+
+def fit(history: DataFrame, series_cfg: SeriesConfig, cfg: TrendBreakConfig) -> DataFrame:
+    """Coefficients per series, and the residual quantiles that make the band.
+
+    Tasks reduce their days to sums of products, which are then added up; no task needs all days of a series.
+    """
+    edge = (1.0 - cfg.band) / 2.0
+    days = history.where(F.col("y") > 0).select(
         "unique_id", F.log("y").alias("log_y"), design(cfg, F.col(series_cfg.regime_col)).alias("terms"))
-    return usable.groupBy("unique_id").applyInPandas(solve, FIT_SCHEMA)
+    summed = days.mapInPandas(_products, "unique_id string, products array<double>") \
+        .select("unique_id", F.posexplode("products").alias("pos", "part")).groupBy("unique_id", "pos").agg(F.sum("part").alias("total"))
+    packed = summed.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("pos", "total")))["total"].alias("sums"))
+    solved = stored(packed.select("unique_id", _solver(cfg.reg_param)("sums").alias("coefficients")), "trend")
+    left = days.join(solved, "unique_id").withColumn("residual", F.col("log_y") - _level("coefficients", F.col("terms")))
+    band = left.groupBy("unique_id").agg(F.percentile("residual", F.array(F.lit(edge), F.lit(1.0 - edge))).alias("band"))
+    return solved.join(band, "unique_id").select(
+        "unique_id", "coefficients", F.least(F.get("band", F.lit(0)), F.lit(0.0)).alias("low"),
+        F.greatest(F.get("band", F.lit(1)), F.lit(0.0)).alias("high"))
 
 
 def predict(fitted: DataFrame, future: DataFrame, series_cfg: SeriesConfig, cfg: TrendBreakConfig) -> DataFrame:
     """Point forecast and band for every row of the future frame."""
     terms = design(cfg, F.col(series_cfg.regime_col))
-    level = F.aggregate(F.zip_with("coefficients", terms, lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
-    joined = future.join(fitted, "unique_id").withColumn("_level", level)
+    joined = future.join(fitted, "unique_id").withColumn("_level", _level("coefficients", terms))
     at = lambda shift: clip(F.exp(F.col("_level") + shift), low=0.0)
     return joined.select("scenario", "unique_id", "ds", at(F.lit(0.0)).alias(cfg.output),
                          at(F.col("low")).alias(BAND[0]), at(F.col("high")).alias(BAND[1]))
