@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import DataFrame, GroupedData, Window, functions as F
 
 
 def group(df: DataFrame, *keys: str) -> GroupedData:
@@ -37,18 +37,6 @@ def ranked(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFram
     return df.orderBy(*sort).limit(n)
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """First ``n`` rows of each key in the given order (pruned before the shuffle)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def with_total(df: DataFrame, **totals: str) -> DataFrame:
-    """Add grand totals of columns as columns. For small, already aggregated frames."""
-    whole = Window.partitionBy(F.lit(0))
-    return df.select("*", *[F.sum(c).over(whole).alias(name) for name, c in totals.items()])
-
-
 def share_of_total(df: DataFrame, **shares: str) -> DataFrame:
     """Add ``100 * column / sum(column)`` columns. For small, already aggregated frames."""
     whole = Window.partitionBy(F.lit(0))
