@@ -4,20 +4,24 @@ Two zstandard dictionaries are built from labelled text. The ordinary one is
 trained on windows of ordinary documents. The toxic one shares that base, and
 its tail, which matches cheapest, holds the words that toxic text uses and
 ordinary text doesn't. A word counts once for each pair of neighbours it has, so
-copies of one document add nothing. The ordinary dictionary's tail is filled
-with as many bytes of further ordinary text, so a window's two compressed
-lengths differ by what the toxic words save.
+copies of one document add nothing. Whether a word joins depends on how unlikely
+its counts would be if both classes used it alike, given how much text of each
+class there is, so it holds for any corpus size, and every such word joins. If no
+word stands out, the tail is a dictionary trained on windows of the toxic
+documents. The ordinary dictionary's tail has as many bytes: ordinary words that
+share a piece with the toxic ones, then further ordinary text. So a window's two
+compressed lengths differ by what the toxic words save, not by pieces of them.
 
 A text is compressed in overlapping windows at a fast level. Windows that gain
 are compressed again at a thorough level, and the smaller gain counts. The
-score is a logistic function of the largest gains, of the number of windows
+score is a logistic function of the largest gains, of the numbers of windows
 that gain much, and of the text's length; it is fitted on labelled documents,
 and 0.5 lies where it separates them best.
 
 Labels are learned from a sample of at most about TOXIC_SAMPLE + ORDINARY_SAMPLE
 rows, drawn by a hash of doc_id; scoring reads every window of every text.
-Null and empty texts have one empty window. Without both labels to learn from,
-every score is 0. A document with contradicting labels counts as toxic. Repeated
+Null and empty texts have one empty window. Only without both labels among the
+training rows every score is 0. A document with contradicting labels counts as toxic. Repeated
 rows are scored each for itself. A null doc_id is not held out and not learned.
 """
 
@@ -39,13 +43,15 @@ from shelfline.session import stored
 #: Bounds of the labelled sample (expected rows).
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 4000, 8000
 WINDOW, STEP = 48, 32
-#: Size of the shared base, words in the toxic tail, windows a document gives to dictionary training.
-BASE_BYTES, TAIL_WORDS, TRAIN_WINDOWS = 8192, 400, 24
-#: A word joins the toxic tail with so many contexts, and if the odds' lower bound is above.
-MIN_CONTEXTS, MIN_LOG_ODDS = 10, 2.5
+#: Size of the shared base, windows a document gives to dictionary training.
+BASE_BYTES, TRAIN_WINDOWS = 8192, 24
+#: Words expected to join the toxic tail by chance, of all words; least log-odds of a word that joins.
+CHANCE_WORDS, MIN_LOG_ODDS = 0.05, 3.5
+#: Characters that an ordinary word shares with a toxic one to count as near it.
+PIECE = 5
 #: Compression level and shortest match of the two passes.
 FAST, THOROUGH = (3, 5), (13, 4)
-WORTH_A_SECOND, LARGE = 3, 5
+WORTH_A_SECOND, LARGE, VERY_LARGE = 3, 5, 7
 WORDS = re.compile(rb"[a-z\x80-\xff]+").findall
 SPREAD = 1_000_000
 
@@ -75,7 +81,7 @@ def _compressors(ordinary: bytes, toxic: bytes):
 
 
 def features(text: bytes | None, ordinary: bytes, toxic: bytes) -> list[float]:
-    """Largest gain, second largest, windows with a large gain, and the text's length."""
+    """The three largest gains, windows with a large and with a very large gain, and the text's length."""
     plain, other, plain_again, other_again = _compressors(ordinary, toxic)
     low = (text or b"").decode("utf-8", "replace").lower().encode()
     gains = []
@@ -87,8 +93,8 @@ def features(text: bytes | None, ordinary: bytes, toxic: bytes) -> list[float]:
         if gain >= WORTH_A_SECOND:
             gains.append(min(gain, len(plain_again(window)) - len(other_again(window))))
     gains.sort(reverse=True)
-    top, second = [*gains, 0, 0][:2]
-    return [float(top), float(second), math.log1p(sum(g >= LARGE for g in gains)), math.log1p(count)]
+    return [*map(float, [*gains, 0, 0, 0][:3]), *(math.log1p(sum(g >= least for g in gains)) for least in (LARGE, VERY_LARGE)),
+            math.log1p(count)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -118,21 +124,38 @@ def _contexts(sample: DataFrame) -> DataFrame:
     return found.select("word", "toxic", F.xxhash64("context").alias("context")).distinct().groupBy("word", "toxic").agg(F.count("*").alias("n"))
 
 
-def _toxic_words(sample: DataFrame) -> list[str]:
-    """At most TAIL_WORDS words that toxic text has far more often, the most frequent first."""
-    counts = stored(_contexts(sample), "toxic-contexts")
-    wide = counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
-                                      F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("o"))
-    nt, no = wide.agg(F.sum("t"), F.sum("o")).first()
+def _toxic_words(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """All words that toxic text has far more often than chance explains, the most frequent first, and ordinary words near them.
+
+    With t of a word's n contexts in toxic text, which has the share q of all
+    contexts, Chernoff's bound of chance is exp(-n KL(t / n, q)).
+    """
+    wide = stored(_contexts(sample).groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
+                                                        F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("o")),
+                  "toxic-contexts")
+    nt, no, kinds = wide.agg(F.sum("t"), F.sum("o"), F.count("*")).first()
     if not nt or not no:
-        return []
-    bound = F.log((F.col("t") / nt) / ((F.col("o") + 0.5) / no)) - 2 * F.sqrt(1 / F.col("t") + 1 / (F.col("o") + 0.5))
-    best = wide.where(F.col("t") >= MIN_CONTEXTS).where(bound > MIN_LOG_ODDS).orderBy(F.desc("t"), "word").limit(TAIL_WORDS)
-    return [r.word for r in best.collect()]
+        return [], []
+    t, o, q = F.col("t"), F.col("o"), nt / (nt + no)
+    unlikely = t * F.log(t / ((t + o) * q)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - q)))).otherwise(0)
+    best = wide.where("t > 0").where(F.log((t / nt) / ((o + 0.5) / no)) > MIN_LOG_ODDS) \
+        .where(unlikely >= math.log(kinds / CHANCE_WORDS)).orderBy(F.desc("t"), "word")
+    words = [r.word for r in best.collect()]
+    pieces = {w[i:i + PIECE] for w in words for i in range(len(w) - PIECE + 1)}
+    own = set(words)
+
+    def near(columns: dict) -> dict:
+        found = [(w, n) for w, n in zip((w.decode() for w in columns["word"]), columns["o"])
+                 if w not in own and any(w[i:i + PIECE] in pieces for i in range(len(w) - PIECE + 1))]
+        return {"word": [w for w, _ in found], "o": [n for _, n in found]}
+
+    # The ordinary tail has no more room than the toxic one.
+    close = per_batch(wide.where("o > 1").select("word", "o"), near, "word string, o long").orderBy(F.desc("o"), "word").limit(3 * len(words))
+    return words, [r.word for r in close.collect()] if pieces else []
 
 
-def _ordinary_windows(sample: DataFrame) -> list[bytes]:
-    """TRAIN_WINDOWS windows, evenly spread, of each ordinary text of the sample."""
+def _windows(sample: DataFrame) -> list[bytes]:
+    """TRAIN_WINDOWS windows, evenly spread, of each text."""
 
     def run(columns: dict) -> dict:
         found = []
@@ -142,15 +165,14 @@ def _ordinary_windows(sample: DataFrame) -> list[bytes]:
             found += [low[at:at + WINDOW] for at in range(0, len(low) - 7, step)][:TRAIN_WINDOWS]
         return {"w": found}
 
-    found = per_batch(sample.where("toxic <> 1").select("text"), run, "w binary")
-    return sorted({bytes(r.w) for r in found.collect()})
+    return sorted({bytes(r.w) for r in per_batch(sample.select("text"), run, "w binary").collect()})
 
 
 def _trained(windows: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, windows).as_bytes()[-size:]
     except zstandard.ZstdError:  # too little text to choose from: take it as it is
-        return b" ".join(windows)[-size:]
+        return b" ".join(windows)[-size:] or b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -174,13 +196,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     sample = stored(_sample(docs, labels), "toxic-sample")
-    words = _toxic_words(sample)
-    if not words:
+    if sample.select(F.col("toxic") == 1).distinct().count() < 2:
         return None
-    windows = _ordinary_windows(sample)
-    tail = (" " + " ".join(reversed(words)) + " ").encode()
+    words, near = _toxic_words(sample)
+    windows = _windows(sample.where("toxic <> 1"))
+    tail = (" " + " ".join(reversed(words)) + " ").encode() if words else _trained(_windows(sample.where("toxic = 1")), BASE_BYTES)
     base, fill = _trained(windows[::2], BASE_BYTES), _trained(windows[1::2], BASE_BYTES)
-    ordinary, toxic = base + (fill * (1 + len(tail) // max(1, len(fill))))[:len(tail)], base + tail
+    alike = (" " + " ".join(reversed(near)) + " ").encode()[-len(tail):] if near else b""
+    left = len(tail) - len(alike)
+    ordinary, toxic = base + (fill * (1 + left // len(fill)))[:left] + alike, base + tail
 
     def run(columns: dict) -> dict:
         return {"x": [features(t, ordinary, toxic) for t in columns["text"]], "toxic": columns["toxic"]}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from shelfline.llm import bpe, chat, mixing, pii, quality, simhash, substrings, vectors
+from shelfline.llm import bpe, chat, mixing, pii, quality, simhash, substrings, toxicity, vectors
 from shelfline.llm.common import prepared, table
 from shelfline.llm.queries import PII_KEY, tokenizer_path
 
@@ -220,3 +220,17 @@ def test_pipeline_equals_a_brute_force_run(spark):
     encoder, by_id = bpe.load(tokenizer_path()), {r["doc_id"]: r["text"] for r in left}
     want = sorted((i, *encoder.digest(by_id[i])) for i, *_ in taken)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()) == want
+
+
+def test_few_toxic_texts_still_make_a_model(spark):
+    """The smallest table has ten toxic training rows; the held-out toxic row is found and no ordinary one."""
+    scored = entry.queries()["op4_toxicity"](spark, SMALL).join(table(spark, SMALL, "labels"), "doc_id").where("held_out")
+    got = [(r.toxic, r.predicted) for r in scored.collect()]
+    assert (1, 1) in got and all(toxic == predicted for toxic, predicted in got)
+
+
+def test_no_outstanding_word_is_no_constant_score(spark):
+    rows = [(i, f"some plain words about {'hills' if i % 2 else 'lakes'} number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i in (1, 2, 3, 4, 6, 7, 8, 9))) for i in range(40)], "doc_id long, toxic int"))
+    assert model is not None and toxicity.score(docs, model).select("score").distinct().count() > 1
