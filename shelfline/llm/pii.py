@@ -10,6 +10,10 @@ one, the holder of the key can undo it, and no text changes its length.
 A value that spans the format's few possibilities (say, one letter) may map to
 itself; that is what a permutation does. Numbers that fail validation stay.
 
+A candidate that fails is tried shorter (an IBAN at its country's length, a phone
+at an earlier space), then by the later patterns at the same place, then the
+search goes on inside it.
+
 Null texts stay null. All columns but `text` pass through unread.
 """
 
@@ -19,8 +23,10 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +39,31 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 #: Alternatives start at a token's first character and are bounded, so a very long token costs one look.
-PATTERN = re.compile(r"""
- (?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5})
+PATTERNS = r"""
+ (?P<email>(?u:(?<![\w\u0300-\u036f.%+-])[^\W_][\w\u0300-\u036f.%+-]{0,63}@(?:[^\W_]|-){1,63}(?:\.(?:[^\W_]|-){1,63}){1,5}))
 |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
 |(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))
-|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?![\w-])
+|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(0\)[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){2,4}(?![\w-])
+  |(?<![\w+])\+\d{1,3}[ .-]\d(?:[ .-]?\d{2,4}){2,4}(?![\w-])
+  |(?<![\w+.-])1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])
+  |(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?![\w-])
   |(?<![\w+])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]*\d))
 |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))
+|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?!(?!T\d\d)[\w-]))
 |(?P<day>(?<![\w./])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\w/]|\.\d))
 |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
 |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
 |(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?![A-Za-z0-9]))
-""", re.X | re.A)
+"""
+PATTERN = re.compile(PATTERNS, re.X | re.A)
+#: Each kind by itself, in the order of PATTERN.
+SINGLE = {re.search(r"<(\w+)>", p)[1]: re.compile(p, re.X | re.A) for p in re.split(r"\n\|", PATTERNS)}
+#: IBAN lengths by country, as registered.
+IBAN_LENGTHS = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ TL GI OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 WORTH_A_LOOK = re.compile(r"[0-9@]").search
 
 
@@ -90,15 +108,27 @@ def _from_number(value: int, radices: list[int]) -> list[int]:
     return digits[::-1]
 
 
-def by_class(text: str, tweak: str, permute: Feistel, alphabets: tuple[str, ...] = (LOWER, UPPER, DIGITS)) -> str:
+def by_class(text: str, tweak: str, permute: Feistel, alphabets: tuple[str, ...] = (LOWER, UPPER, DIGITS),
+             allowed: Callable[[str], bool] | None = None) -> str:
     """Letters stay letters of their case, digits digits; anything else keeps its place."""
     spots = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
     radices = [len(a) for _, a in spots]
     value, size = _to_number([a.index(text[i]) for i, a in spots], radices)
-    out = list(text)
-    for (i, a), d in zip(spots, _from_number(permute(value, size, tweak), radices)):
-        out[i] = a[d]
-    return "".join(out)
+
+    def said(value: int) -> str:
+        out = list(text)
+        for (i, a), d in zip(spots, _from_number(value, radices)):
+            out[i] = a[d]
+        return "".join(out)
+
+    return said(permute(value, size, tweak, (lambda v: allowed(said(v))) if allowed else (lambda v: True)))
+
+
+@lru_cache(maxsize=4096)
+def _kin(c: str) -> str:
+    """The letters or digits that a non-ASCII one may become: those of its kind whose UTF-8 forms differ in the last byte."""
+    first = ord(c) // 64 * 64
+    return "".join(k for k in map(chr, range(first, first + 64)) if unicodedata.category(k) == unicodedata.category(c))
 
 
 def luhn_sum(digits: str) -> int:
@@ -121,7 +151,8 @@ def _card(text: str, permute: Feistel) -> str | None:
 
 def _email(text: str, permute: Feistel) -> str:
     local, domain = text.split("@")
-    return by_class(local, f"email@{domain}", permute) + "@" + domain
+    others = tuple(sorted({_kin(c) for c in local if not c.isascii() and c.isalnum()}))
+    return by_class(local, f"email@{domain}", permute, (LOWER, UPPER, DIGITS, *others)) + "@" + domain
 
 
 OCTET = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
@@ -140,7 +171,7 @@ def _ip(text: str, permute: Feistel) -> str | None:
 def _phone(text: str, permute: Feistel) -> str | None:
     if not 8 <= sum(c.isdigit() for c in text) <= 15:
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", text)[0]
+    head = re.match(r"\+\d{1,3}[ .-]?\(0\)|\+\d{1,3}(?=[ .(-])|\+\d|1(?=[ .-])|", text)[0]
     return head + by_class(text[len(head):], "phone" + head, permute, (DIGITS,))
 
 
@@ -165,7 +196,10 @@ def _date(text: str, permute: Feistel) -> str | None:
                 return new.isoformat()
             pair = (new.day, new.month) if order == "dmy" else (new.month, new.day)
             padded = "0" in (parts[0][0], parts[2][0]) or widths[:2] == [2, 2]
-            first = [f"{v:02d}" if padded else str(v) for v in pair]
+            mixed = padded and widths[0] != widths[1]  # as 5/03/2021: both below ten
+            if mixed and max(pair) > 9:
+                return None
+            first = [f"{v:0{w}d}" if mixed else f"{v:02d}" if padded else str(v) for v, w in zip(pair, widths)]
             return sep.join([*first, str(new.year)]) if [len(f) for f in first] == widths[:2] else None
 
         value = day.toordinal() - FIRST_DAY
@@ -186,17 +220,33 @@ def _ssn(text: str, permute: Feistel) -> str | None:
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _mod97(country: str, body: str, check: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
+def _valid_iban(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and _mod97(plain[:2], plain[4:], plain[2:4]) == 1 and 2 <= int(plain[2:4]) <= 98
+
+
 def _iban(text: str, permute: Feistel) -> str | None:
-    plain = text.replace(" ", "")
+    """The IBAN of the country's length if it ends with a word, else the whole text; None if neither is valid."""
+    size = IBAN_LENGTHS.get(text[:2], 0)
+    cut = next((i + 1 for i in range(len(text)) if i + 1 - text.count(" ", 0, i + 1) == size), len(text))
+    short = text[:cut].replace(" ", "") if cut < len(text) and text[cut] == " " else ""
+    if short and _valid_iban(short):
+        plain, end = short, cut
+    else:
+        plain, end = text.replace(" ", ""), len(text)
+        if not _valid_iban(plain):
+            return None
 
-    def rest(country: str, body: str, check: str) -> int:
-        return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+    def whole(body: str) -> str:
+        return plain[:2] + f"{98 - _mod97(plain[:2], body, '00'):02d}" + body
 
-    if not 15 <= len(plain) <= 34 or rest(plain[:2], plain[4:], plain[2:4]) != 1 or not 2 <= int(plain[2:4]) <= 98:
-        return None
-    body = by_class(plain[4:], "iban" + plain[:2], permute)
-    new = iter(plain[:2] + f"{98 - rest(plain[:2], body, '00'):02d}" + body)
-    return "".join(c if c == " " else next(new) for c in text)
+    # A value that was taken whole must not read as a shorter one.
+    unmistaken = (lambda body: not _valid_iban(whole(body)[:size])) if short and end == len(text) else None
+    new = iter(whole(by_class(plain[4:], "iban" + plain[:2], permute, allowed=unmistaken)))
+    return "".join(c if c == " " else next(new) for c in text[:end])
 
 
 def _secret(text: str, permute: Feistel) -> str | None:
@@ -222,22 +272,38 @@ MAKERS = {"email": _email, "iban": _iban, "key": _key, "phone": _phone, "ip": _i
 KIND_OF = {"iso": "date", "day": "date", "key": "secret"}
 
 
+def _candidates(text: str, match: re.Match) -> Iterator[tuple[str, str]]:
+    """Kind and text of what may be a value at a match's place: the match, shorter ones, later patterns."""
+    first = next(g for g in MAKERS if match[g] is not None)
+    kinds = list(SINGLE)
+    for kind in kinds[kinds.index(first):]:
+        found = SINGLE[kind].match(text, match.start())
+        if found:
+            yield kind, found[0]
+            if kind == "phone":
+                for end in [i for i in range(found.end() - 1, found.start(), -1) if text[i] == " "]:
+                    shorter = SINGLE[kind].fullmatch(text, found.start(), end)
+                    if shorter:
+                        yield kind, shorter[0]
+
+
 def pseudonymise(text: str, permute: Feistel) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind there were."""
     counts: dict[str, int] = {}
     if not WORTH_A_LOOK(text):
         return text, counts
-
-    def replaced(match: re.Match) -> str:
-        group = next(g for g in MAKERS if match[g] is not None)
-        new = MAKERS[group](match[0], permute)
-        if new is None:
-            return match[0]
-        kind = KIND_OF.get(group, group)
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(replaced, text), counts
+    out, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
+        at = match.start() + 1
+        for group, said in _candidates(text, match):
+            new = MAKERS[group](said, permute)
+            if new is not None:
+                kind = KIND_OF.get(group, group)
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[done:match.start()], new]
+                done = at = match.start() + len(new)
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonyms(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:

@@ -234,3 +234,16 @@ def test_no_outstanding_word_is_no_constant_score(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, int(i in (1, 2, 3, 4, 6, 7, 8, 9))) for i in range(40)], "doc_id long, toxic int"))
     assert model is not None and toxicity.score(docs, model).select("score").distinct().count() > 1
+
+
+@pytest.mark.parametrize("said, kind, left", [
+    ("BE68 5390 0754 7034 BIC: KREDBEBB", "iban", "5390 0754 7034"), ("AT61 1904 3002 3457 3201 BIC", "iban", "1904 3002 3457 3201"),
+    ("at 2024-03-05T10:00:00Z", "date", "2024-03-05"), ("on 5/03/2021", "date", "5/03/2021"), ("on 05.3.2021", "date", "05.3.2021"),
+    ("+33 6 12 34 56 78", "phone", "12 34 56 78"), ("+44 (0)20 7946 0958", "phone", "7946 0958"), ("1-800-555-1234", "phone", "555-1234"),
+    ("+33 (0)6 12 34 56 78 2024", "phone", "12 34 56 78"), ("andré.45@mail.example", "email", "andr"), ("иван.7@mail.example", "email", "иван"),
+    ("AB12 4111 1111 1111 1111", "card", "4111 1111 1111 1111")])
+def test_common_forms_get_pseudonyms(said, kind, left):
+    new, counts = pii.pseudonymise(said, pii.Feistel(PII_KEY))
+    assert counts == {kind: 1} and left not in new and len(new) == len(said)
+    assert re.sub(r"\w", "0", new) == re.sub(r"\w", "0", said)
+    assert pii.pseudonymise(new, pii.Feistel(PII_KEY, True))[0] == said
