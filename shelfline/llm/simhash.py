@@ -162,19 +162,32 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; columns as given.
+    """One row of each group, the one with the smallest (doc_id, text, row number); columns as given.
 
-    Rows that repeat a doc_id count as copies of it: the one with the smallest
-    text stays. A row without a doc_id can't be named and stays.
+    Rows are judged by a stored row number, so rows that repeat a doc_id are
+    judged each for itself. A row without a doc_id gives way to the first such
+    row of its group only.
     """
-    placed = stored(simhash_components(docs).where("doc_id is not null").select("doc_id", "component_id"), "simhash-kept")
-    # Rows of one doc_id with different texts may lie in different groups; the id stays if it leads any of them.
-    per_id = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"),
-                                          F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("leads"))
-    per_id = stored(per_id.where("copies > 1 or leads = 0"), "simhash-judged")
-    plain = docs.join(per_id.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.join(per_id.where("leads = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    one = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-                                         .alias("row"))
-    return plain.unionByName(one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c)
-                                          for c in docs.columns]))
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    rows = numbered.select(F.struct("doc_id", F.col(number).alias("row")).alias("doc_id"), "text")
+    fps = stored(fingerprints(rows).select("doc_id.doc_id", "doc_id.row", "fp"), "simhash")
+    none = F.col("doc_id").isNull().alias("none")
+    # The smallest id of a fingerprint, then of a group: combining aggregates. n rows share it, `row` is the first.
+    per_id = fps.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    per_fp = per_id.groupBy("fp", none).agg(F.min(F.struct("doc_id", "n", "row")).alias("k"))
+    roots = components(ball_links(fps)).select(F.col("node").alias("fp"), "root")
+    rooted = stored(per_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "none", "k.*"), "simhash-roots")
+    per_root = rooted.groupBy("root", "doc_id").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    led = stored(per_root.groupBy("root", none).agg(F.min(F.struct("doc_id", "n", "row")).alias("k")).select("root", "k.*"), "simhash-led")
+    # Only where several rows share the smallest id their texts decide.
+    tied = rooted.join(led.where("n > 1").select("root", F.col("doc_id").alias("least")), "root").where("doc_id <=> least") \
+        .select("root", "fp", F.col("doc_id").alias("least"))
+    tied = fps.join(tied, "fp").where("doc_id <=> least").select("root", "least", "row")
+    texts = numbered.select(F.col(number).alias("row"), "text")
+    first = tied.join(texts, "row").groupBy("root", "least").agg(F.min(F.struct("text", "row")).alias("k")).select("k.row")
+    kept = led.where("n = 1").select("row").unionByName(first)
+    lost = stored(fps.select("row").join(kept, "row", "left_anti"), "simhash-lost")
+    return numbered.join(lost.withColumnRenamed("row", number), number, "left_anti").select(*docs.columns)

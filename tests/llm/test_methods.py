@@ -247,3 +247,14 @@ def test_common_forms_get_pseudonyms(said, kind, left):
     assert counts == {kind: 1} and left not in new and len(new) == len(said)
     assert re.sub(r"\w", "0", new) == re.sub(r"\w", "0", said)
     assert pii.pseudonymise(new, pii.Feistel(PII_KEY, True))[0] == said
+
+
+def test_near_copies_go_by_row(docs_of):
+    a, b = (" ".join(f"{p}{i}" for i in range(200)) for p in "ab")
+    near = b + " b199"
+    assert (simhash.fingerprint(b.encode()) ^ simhash.fingerprint(near.encode())).bit_count() <= 4
+    rows = [(5, a), (5, b), (9, near), (None, "x y z"), (None, "x y z"), (None, "x y z"), (7, a), (7, a)]
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_copies(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (None, "x y z")], key=str)
+    clash = docs_of([(5, b), (5, a), (5, a)]).withColumn("_row", F.lit(1))
+    assert sorted(r.text for r in simhash.drop_near_copies(clash).collect()) == [a, b]
