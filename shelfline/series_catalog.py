@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.catalog import Query
-from shelfline.config import ForecastConfig, SeriesConfig, TrendBreakConfig, quick_ensemble
+from shelfline.config import ForecastConfig, SeriesConfig, TrendBreakConfig
 from shelfline.forecast import baseline, series as S
 from shelfline.forecast.attribution import top_features
 from shelfline.forecast.blend import apply_blend, learn_blend, score_candidates, weight_candidates
@@ -24,7 +24,7 @@ from shelfline.sources.files import contract_facts, read_csv, write_csv
 from shelfline.sources.schemas import SCHEMAS
 
 TESTBED = SeriesConfig(regime_start=date(1999, 1, 1), regime_end=date(2000, 6, 30))
-CONFIG = ForecastConfig(series=TESTBED, ensemble=quick_ensemble(), trend=TrendBreakConfig(break_date=date(1999, 1, 1)))
+CONFIG = ForecastConfig(series=TESTBED, trend=TrendBreakConfig(break_date=date(1999, 1, 1)))
 MIXES = weight_candidates(len(baseline.BASELINES), CONFIG.blend)
 PRIMARY = "gbt_base"
 SAMPLE_ROWS = 2000

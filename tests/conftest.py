@@ -1,5 +1,6 @@
 import os
 import sys
+from dataclasses import replace
 
 import pytest
 
@@ -22,6 +23,25 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def registered():
+    """The settings of the registered series queries."""
+    from shelfline import series_catalog
+
+    return series_catalog.CONFIG
+
+
+@pytest.fixture(scope="session", autouse=True)
+def small_ensemble(registered):
+    """Tests train the small ensemble; the registered queries train the published one."""
+    from shelfline import series_catalog
+    from shelfline.config import quick_ensemble
+
+    series_catalog.CONFIG = replace(registered, ensemble=quick_ensemble())
+    yield
+    series_catalog.CONFIG = registered
+
+
 @pytest.fixture(scope="session")
 def tables(spark):
     from shelfline.sources import ParquetTestbed

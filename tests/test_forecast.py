@@ -286,3 +286,9 @@ def test_history_meets_forecast(space):
 
 def test_work_paths_are_new(spark):
     assert work_path(spark, "a") != work_path(spark, "a")
+
+
+def test_registered_queries_train_the_published_ensemble(registered):
+    from shelfline.config import FULL_ENSEMBLE
+
+    assert registered.ensemble == FULL_ENSEMBLE
