@@ -9,12 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, chat, language, mixing, pii, quality, simhash, substrings, toxicity, vectors
+from shelfline.llm import bpe, chat, language, merkle, mixing, packing, pii, quality, simhash, substrings, toxicity, vectors
 from shelfline.llm.common import table
 
 #: Production parameters.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.json"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 PII_KEY = b"corpus-pseudonyms-1"
 MIX = mixing.MixPolicy(
     domain_of={"src0": "web", **{f"src{i}": "web" for i in range(1, 10)}, **{f"src{i}": "reference" for i in range(10, 15)},
@@ -22,12 +23,12 @@ MIX = mixing.MixPolicy(
     domains={"web": 5, "reference": 3, "forum": 2}, langs={"en": 4, "de": 2, "fr": 2, "es": 1})
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     """The vocabulary file, as the folder's own module names it."""
     spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(TOKENIZERS, "__init__.py"))
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    return module.path(TOKENIZER)
+    return module.path(name)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "domain", "row.lang", "row.source", "n_tokens", "epoch")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER)))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), altered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_vectors": op2_vectors,
@@ -93,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
 }
 
 WORDS = "[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']"
@@ -140,4 +153,5 @@ ORACLES: dict[str, str] = {
     "op5_quality": QUALITY_SQL,
     "op6_chat": CHAT_SQL,
     "op10_mixing": mixing.mix_sql(MIX),
+    "op12_merkle": merkle.MERKLE_SQL,
 }
