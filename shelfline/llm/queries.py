@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, chat, language, merkle, mixing, packing, pii, quality, simhash, substrings, toxicity, vectors
+from shelfline.llm import bpe, chat, language, merkle, mixing, packing, phrases, pii, quality, simhash, substrings, toxicity, vectors
 from shelfline.llm.common import table
 
 #: Production parameters.
@@ -93,6 +93,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), altered))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_vectors": op2_vectors,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_packing": op11_packing,
     "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }
 
 WORDS = "[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']"
@@ -154,4 +159,5 @@ ORACLES: dict[str, str] = {
     "op6_chat": CHAT_SQL,
     "op10_mixing": mixing.mix_sql(MIX),
     "op12_merkle": merkle.MERKLE_SQL,
+    "op13_phrases": phrases.PHRASES_SQL,
 }
