@@ -15,8 +15,9 @@ gone before the next. Variants travel packed: eight bytes for the variant and
 two for the flip that led to it.
 
 Fingerprints that share a variant are all within four bits of one another.
-Hence a bucket is linked as a chain: no pair list, and a group of k near copies
-costs k links a bucket.
+Hence a bucket is linked as a chain, and of the chains of all buckets in a group of the
+shuffle only a spanning forest is kept: k near copies cost at most k - 1 links a
+group, however many variants they share, and the components stay exact.
 
 Copies meet as one fingerprint before any variant is made. Null and empty texts
 have fingerprint zero. Rows with a null doc_id take part; a component's id is
@@ -115,16 +116,36 @@ def _emit(part: int, colours: int, groups: int):
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the links (a, b) that span their components without a cycle.
+
+    In each round every root that has a link to a smaller one takes the first such
+    link, so no cycle can close, and paths are shortened.
+    """
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    root, left, taken = np.arange(len(nodes)), np.arange(len(a)), []
+    while len(left):
+        low, high = np.sort(root[ends[:, left]], axis=0)
+        left, low, high = (x[low != high] for x in (left, low, high))
+        hooked, first = np.unique(high, return_index=True)
+        root[hooked] = low[first]
+        taken.append(left[first])
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate([np.zeros(0, np.int64), *taken])
+
+
 def _meet(packed: pa.Table) -> pa.Table:
-    """Chains of the fingerprints that share a variant, each link once."""
+    """Links that span the groups of fingerprints that share a variant: fewer than there are fingerprints."""
     variants = np.frombuffer(b"".join(packed.column("variants").to_pylist()), np.uint64)
     flips = np.frombuffer(b"".join(packed.column("flips").to_pylist()), np.uint16)
     order = np.argsort(variants)
     variants = variants[order]
     same = np.flatnonzero(variants[1:] == variants[:-1])
     a, b = (variants[same + k] ^ FLIPS[flips[order[same + k]]] for k in (0, 1))
-    links = np.unique(np.stack([a, b], 1).view(np.int64), axis=0) if len(same) else np.empty((0, 2), np.int64)
-    return pa.table({"a": links[:, 0], "b": links[:, 1]})
+    kept = _forest(a, b)
+    return pa.table({"a": a[kept].view(np.int64), "b": b[kept].view(np.int64)})
 
 
 def ball_links(fps: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfline.llm import bpe, chat, mixing, pii, quality, simhash, substrings, toxicity, vectors
-from shelfline.llm.common import prepared, table
+from shelfline.llm.common import components, prepared, table
 from shelfline.llm.queries import PII_KEY, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,6 +63,52 @@ def test_ball_links_connect_all_close_fingerprints(spark):
     assert classes(links) == classes([(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 4])
 
 
+@pytest.mark.parametrize("size", [100, 800])
+def test_near_copies_give_a_spanning_forest_a_group(spark, size):
+    rng = np.random.default_rng(size)
+    flips = {int(sum(1 << int(b) for b in rng.choice(62, 2, replace=False))) for _ in range(4 * size)}
+    values = np.array([0x0F0F << 20 ^ f for f in sorted(flips)][:size], np.int64)
+    fps = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    for groups in (1, 3):
+        for part in range(2):
+            packed = fps.mapInArrow(simhash._emit(part, 8, groups), "grp int, variants binary, flips binary")
+            links = packed.groupBy("grp").applyInArrow(simhash._meet, "a long, b long").collect()
+            assert 0 < len(links) <= groups * (size - 1) and all((r.a ^ r.b).bit_count() <= 4 for r in links)
+    links = simhash.ball_links(fps)
+    assert links.count() <= 8 * (size - 1)
+    assert {r.root for r in components(links).collect()} == {int(values.min())} and components(links).count() == size - 1
+
+
+def test_forest_spans_without_cycles():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, (2, 900)).astype(np.uint64) * np.uint64(1 << 55)
+    root = {int(v): int(v) for v in (*a, *b)}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    kept = simhash._forest(a, b)
+    for k in kept:
+        x, y = find(int(a[k])), find(int(b[k]))
+        assert x != y
+        root[x] = y
+    assert all(find(int(x)) == find(int(y)) for x, y in zip(a, b)) and len(simhash._forest(a[:0], b[:0])) == 0
+
+
+def test_fingerprint_by_hand():
+    """Bit by bit from the contract, with no helper of the module."""
+    import xxhash
+
+    for text in ("", None, " \t\n", "One two", "A b C d", "a b c d e a b c d e", "é Ä\x0bz " * 50, "x " * 9):
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(s.encode("utf-8"), seed=42).intdigest() for s in shingles]
+        want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(None if text is None else text.encode()) % (1 << 64) == want
+
+
 @pytest.mark.parametrize("colours", [8, 16, 64])
 def test_slices_hold_every_flip_once(colours):
     kinds = simhash.colour(simhash.FLIPS, colours)
