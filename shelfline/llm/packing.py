@@ -14,7 +14,7 @@ gives other (again unique) sequence ids.
 
 Ids come from the library's tokenizer, one white-space word at a time: this
 vocabulary drops white space, so no token and no normalisation reaches across an
-ASCII blank. A worker remembers words it has met, up to REMEMBERED_BYTES. Texts are
+ASCII blank. A worker remembers words, up to REMEMBERED_BYTES. Texts are
 read in slices of SLICE_BYTES that end at a blank, and pieces leave a task in batches
 of BATCH_BYTES, so a very long text costs its ids and no list of all its words.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import arrow_schema
 
 LIMIT, END = 2048, 1
-SLICE_BYTES, BATCH_BYTES, REMEMBERED_BYTES = 1 << 22, 1 << 24, 1 << 25
+SLICE_BYTES, BATCH_BYTES, REMEMBERED_BYTES = 1 << 22, 1 << 24, 96 << 20
 #: Bits of a sequence id: running number in the task, task, bucket (the power of two).
 NUMBER_BITS, TASK_BITS = 34, 24
 #: A vocabulary travels to the workers once; larger files are refused.
@@ -70,16 +70,26 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
+    def learn(self, fresh: list[bytes]) -> None:
+        """Unmet words go to the library as one text; offsets tell which ids are whose."""
+        texts = [w.decode("utf-8", "replace") for w in fresh]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        next_word = np.cumsum([len(t) + 1 for t in texts])
+        starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ends = 4 * np.searchsorted(np.searchsorted(next_word, starts, "right"), np.arange(len(fresh)), "right")
+        ids, at = np.array(found.ids, "<u4").tobytes(), 0
+        for word, end in zip(fresh, ends.tolist()):
+            self.known[word] = ids[at:end]
+            at = end
+        self.size += sum(map(len, fresh)) + len(ids) + 150 * len(fresh)
+
     def __call__(self, text: bytes | None) -> bytes:
         out = bytearray()
         for part in slices(text or b""):
             words = part.split()
-            fresh = list(set(words) - self.known.keys())
+            fresh = [w for w in dict.fromkeys(words) if w not in self.known]
             if fresh:
-                found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-                for word, ids in zip(fresh, found):
-                    self.known[word] = np.array(ids.ids, "<u4").tobytes()
-                    self.size += len(word) + len(self.known[word]) + 150
+                self.learn(fresh)
             out += b"".join(map(self.known.__getitem__, words))
             if self.size > REMEMBERED_BYTES:
                 self.known, self.size = {}, 0

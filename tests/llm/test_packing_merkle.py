@@ -50,7 +50,7 @@ def test_words_encode_as_whole_texts(library, monkeypatch):
     encode = packing.WordEncoder(open(tokenizer_path(PACKING_TOKENIZER), encoding="utf-8").read())
     rng = np.random.default_rng(3)
     odd = ["é", "e", "́", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "ΑΣ", "'s", "'LL", "12", "٣", "½", "ﬁ", "😀", "<|endoftext|>",
-           "<|startoftext|>", "ÀB", "İ", "ß", "a", "Zz", "…", "don't", "中文", "가", "ᄀ", "ᅡ", "\x0b", "\x0c", "\r", "x1y"]
+           "<|startoftext|>", "ÀB", "İ", "ß", "a", "Zz", "…", "don't", "中文", "가", "ᄀ", "ᅡ", "İ", "ſ", "ŉ", "µ", "ª", "²", "Ÿ", "Œ", "<|", "|>", "'", "\x0b", "\x0c", "\r", "x1y"]
     for size in (1, 2, 3, 8, 60):
         for _ in range(300):
             text = "".join(rng.choice(odd, size))
