@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfline.config import BlendConfig
 
 BLEND_SCHEMA = "unique_id string, candidate int, weights array<double>, bias double, validation_mae double"
-_CHUNK = 500
+#: Candidates of one group: a group holds one series' hold-out days and scores this many mixes.
+BLOCK = 125
 
 
 def weight_candidates(n_models: int, cfg: BlendConfig) -> np.ndarray:
@@ -36,47 +37,54 @@ def weight_grid(n_models: int, steps: int) -> np.ndarray:
 
 
 def _score(rows: pd.DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Median correction and mean absolute error of every candidate on one series' hold-out days."""
+    """Median correction and mean absolute error of some candidates on one series' hold-out days."""
     rows = rows.sort_values("ds")
     truth = rows["y"].to_numpy(float)[:, None]
-    preds = rows[list(models)].to_numpy(float)
-    biases, errors = [], []
-    for start in range(0, len(weights), _CHUNK):
-        raw = preds @ weights[start:start + _CHUNK].T
-        bias = np.median(truth - raw, axis=0) if cfg.median_bias else np.zeros(raw.shape[1])
-        fixed = np.maximum(raw + bias, 0.0) if cfg.clip_negative else raw + bias
-        biases.append(bias)
-        errors.append(np.abs(truth - fixed).mean(axis=0))
-    return np.concatenate(biases), np.concatenate(errors)
+    raw = rows[list(models)].to_numpy(float) @ weights.T
+    bias = np.median(truth - raw, axis=0) if cfg.median_bias else np.zeros(raw.shape[1])
+    fixed = np.maximum(raw + bias, 0.0) if cfg.clip_negative else raw + bias
+    return bias, np.abs(truth - fixed).mean(axis=0)
 
 
-def score_candidates(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
-    """Every candidate's weights, correction and error per series.
+def _blocks(evaluated: DataFrame, models: Sequence[str], count: int) -> DataFrame:
+    """Hold-out days once for each block of candidates, dealt out by (series, block).
 
-    A series has one row per hold-out day, so each group is small; the candidates
-    travel with the function and no day-by-candidate table is ever built.
+    The number of partitions is given, so that adaptive execution does not merge
+    the groups of few series into one task: bytes say nothing about the work here.
     """
+    spark = evaluated.sparkSession
+    blocks = F.sequence(F.lit(0), F.lit(-(-count // BLOCK) - 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    known = evaluated.na.drop(subset=["y", *models]).select("unique_id", "ds", "y", *models, F.explode(blocks).alias("block"))
+    return known.repartition(parts, "unique_id", "block")
+
+
+def score_candidates(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
+    """Every candidate's weights, correction and error per series; one group per (series, block of candidates)."""
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        bias, error = _score(rows, models, weights, cfg)
-        return pd.DataFrame({"unique_id": rows["unique_id"].iloc[0], "candidate": np.arange(len(weights)),
-                             "weights": list(weights), "bias": bias, "validation_mae": error})
+        first = int(rows["block"].iloc[0]) * BLOCK
+        mine = weights[first:first + BLOCK]
+        bias, error = _score(rows, models, mine, cfg)
+        return pd.DataFrame({"unique_id": rows["unique_id"].iloc[0], "candidate": first + np.arange(len(mine)),
+                             "weights": list(mine), "bias": bias, "validation_mae": error})
 
-    return _known(evaluated, models).groupBy("unique_id").applyInPandas(score, BLEND_SCHEMA)
+    return _blocks(evaluated, models, len(weights)).groupBy("unique_id", "block").applyInPandas(score, BLEND_SCHEMA)
 
 
 def learn_blend(evaluated: DataFrame, models: Sequence[str], weights: np.ndarray, cfg: BlendConfig) -> DataFrame:
-    """The candidate with the lowest error per series; the first one wins a tie."""
+    """The candidate with the lowest error (to six digits) per series; the first one wins a tie."""
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        bias, error = _score(rows, models, weights, cfg)
+        first = int(rows["block"].iloc[0]) * BLOCK
+        mine = weights[first:first + BLOCK]
+        bias, error = _score(rows, models, mine, cfg)
         at = int(np.argmin(np.round(error, 6)))
-        return pd.DataFrame({"unique_id": [rows["unique_id"].iloc[0]], "candidate": [at], "weights": [weights[at]],
-                             "bias": [bias[at]], "validation_mae": [error[at]]})
-
-    return _known(evaluated, models).groupBy("unique_id").applyInPandas(search, BLEND_SCHEMA)
-
+        return pd.DataFrame({"unique_id": [rows["unique_id"].iloc[0]], "candidate": [first + at], "weights": [mine[at]],
+                             "bias": [bias[at]], "validation_mae": [error[at]], "rounded": [np.round(error[at], 6)]})
 
-def _known(evaluated: DataFrame, models: Sequence[str]) -> DataFrame:
-    return evaluated.na.drop(subset=["y", *models]).select("unique_id", "ds", "y", *models)
+    best = _blocks(evaluated, models, len(weights)).groupBy("unique_id", "block") \
+        .applyInPandas(search, f"{BLEND_SCHEMA}, rounded double")
+    return best.groupBy("unique_id").agg(F.min(F.struct("rounded", "candidate", "weights", "bias", "validation_mae")).alias("best")) \
+        .select("unique_id", "best.candidate", "best.weights", "best.bias", "best.validation_mae")
 
 
 def blended(models: Sequence[str], cfg: BlendConfig) -> Column:

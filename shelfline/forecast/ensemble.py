@@ -1,70 +1,87 @@
-"""Boosted-tree ensemble over all series, and its recursive multi-step forecast."""
+"""An ensemble of regression models over all series, and its recursive multi-step forecast."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.base import Estimator
+from pyspark import StorageLevel
+from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.config import LagAgg, SeriesConfig, TreeParams
 from shelfline.forecast.calendar import DateFeature
 from shelfline.forecast.features import feature_names, known_features, known_names, lag_names
+from shelfline.forecast.store import ModelStore, series_fingerprint
 from shelfline.forecast.trees import TreeArrays, tree_arrays
-from shelfline.session import shared_folder
+from shelfline.session import remove_path, shared_folder, work_path
+
+#: Training rows in one partition. A boosting round is some ten short jobs, so few rows mean few tasks.
+ROWS_PER_PARTITION = 100_000
+#: Boosting rounds between two writes that cut the lineage.
+ROUNDS_PER_CHECKPOINT = 25
 
 
 def build_estimators(params: Mapping[str, TreeParams]) -> dict[str, Estimator]:
     """Spark's boosted trees for the given settings (leaf counts and penalties have no counterpart)."""
     return {name: GBTRegressor(
         featuresCol="features", labelCol="y", maxIter=p.max_iter, stepSize=p.step_size, maxDepth=p.max_depth,
-        minInstancesPerNode=p.min_instances, subsamplingRate=p.subsampling,
+        minInstancesPerNode=p.min_instances, subsamplingRate=p.subsampling, checkpointInterval=ROUNDS_PER_CHECKPOINT,
         featureSubsetStrategy=str(p.feature_share), seed=p.seed, maxMemoryInMB=512)
         for name, p in params.items()}
 
 
 @dataclass(frozen=True)
 class Ensemble:
-    models: dict[str, GBTRegressionModel]
-    trees: dict[str, TreeArrays]
+    models: dict[str, Model]
 
     @property
     def names(self) -> list[str]:
-        return list(self.trees)
+        return list(self.models)
+
+    @cached_property
+    def trees(self) -> dict[str, TreeArrays]:
+        """Node tables of the members, for the attribution; boosted trees only."""
+        return {n: tree_arrays(m) for n, m in self.models.items()}
 
 
 def assemble(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(matrix)
+    """Add the feature vector; an unknown value (a lag before the first day) is NaN in it."""
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(matrix)
 
 
 def fit_ensemble(matrix: DataFrame, cfg: SeriesConfig, estimators: Mapping[str, Estimator],
-                 features: Mapping[str, DateFeature] | None = None) -> Ensemble:
+                 features: Mapping[str, DateFeature] | None = None, store: ModelStore | None = None,
+                 fingerprint: str | None = None) -> Ensemble:
     """One global model per estimator, trained on all series together.
 
-    The estimators share the assembled rows and train side by side, as the tuning
-    tools of Spark ML do. They must be boosted trees: the forecast walks their nodes.
+    Any estimator that learns ``y`` from ``features`` and adds ``prediction`` will do. The
+    estimators share the assembled rows and train side by side, as the tuning
+    tools of Spark ML do. Models are kept in ``store`` and read from it where they
+    are there already; ``fingerprint`` names the series behind the matrix (the matrix' own by default).
     ``features`` are the date features that the matrix was made with.
     """
-    other = [n for n, e in estimators.items() if not isinstance(e, GBTRegressor)]
-    if other:
-        raise TypeError(f"not a GBTRegressor: {', '.join(other)}")
-    shared_folder(matrix.sparkSession)  # boosting cuts its lineage in the checkpoint folder
-    rows = assemble(matrix.na.drop(subset=["y"]), feature_names(cfg, features)).select("features", "y").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(max_workers=len(estimators)) as pool:
-            jobs = {n: pool.submit(inheritable_thread_target(matrix.sparkSession)(e.fit), rows) for n, e in estimators.items()}
-            models = {n: job.result() for n, job in jobs.items()}
-    finally:
-        rows.unpersist()
-    return Ensemble(models, {n: tree_arrays(m) for n, m in models.items()})
+    spark = matrix.sparkSession
+    shared_folder(spark)  # boosting cuts its lineage in the checkpoint folder
+    names = feature_names(cfg, features)
+
+    def rows() -> DataFrame:
+        known = assemble(matrix.na.drop(subset=["y"]), names).select("features", "y").persist(StorageLevel.MEMORY_AND_DISK)
+        count = known.count()
+        parts = max(1, -(-count // ROWS_PER_PARTITION))
+        if parts >= known.rdd.getNumPartitions():
+            return known
+        few = known.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        few.count()
+        known.unpersist()
+        return few
+
+    store = store or ModelStore(spark)
+    return Ensemble(store.fit(estimators, names, fingerprint or series_fingerprint(matrix.select("unique_id", "ds", "y")), rows))
 
 
 def step_size(cfg: SeriesConfig) -> int:
@@ -77,61 +94,83 @@ def memory(cfg: SeriesConfig) -> int:
     return max([*cfg.lags, *[r.lag + r.window - 1 for r in cfg.rolling]])
 
 
-def _lag_block(past: np.ndarray, days: int, cfg: SeriesConfig) -> np.ndarray:
-    """Lag and rolling features of the next ``days`` days, from values up to now."""
-    end = len(past)
+def _number(value: Column) -> Column:
+    """As a feature: unknown is NaN."""
+    return F.coalesce(value.cast("double"), F.lit(float("nan")))
+
 
-    def at(back: int) -> np.ndarray:
-        spots = np.arange(end, end + days) - back
-        return np.where(spots >= 0, past[np.clip(spots, 0, end - 1)], np.nan)
+def _lag_features(past: str, cfg: SeriesConfig) -> list[Column]:
+    """Lag and rolling features of the day ``_at`` days behind the end of the array ``past``."""
+    end = F.size(past) + F.col("_at")
 
-    def rolled(spec: LagAgg) -> np.ndarray:
-        window = np.stack([at(spec.lag + i) for i in range(spec.window)])
-        return {"mean": np.nanmean, "max": np.nanmax, "min": np.nanmin}[spec.fn](window, axis=0)
+    def rolled(spec: LagAgg) -> Column:
+        start = end - (spec.lag + spec.window - 1)
+        first = F.greatest(start, F.lit(0))
+        held = F.slice(past, first + 1, F.greatest(start + spec.window - first, F.lit(0)))
+        if spec.fn == "mean":
+            total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+            return F.when(F.size(held) > 0, total / F.size(held)).alias(spec.name)
+        return {"max": F.array_max, "min": F.array_min}[spec.fn](held).alias(spec.name)
 
-    return np.column_stack([at(n) for n in cfg.lags] + [rolled(spec) for spec in cfg.rolling])
+    return [F.get(past, end - n).alias(f"lag{n}") for n in cfg.lags] + [rolled(spec) for spec in cfg.rolling]
 
 
 def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame, cfg: SeriesConfig,
                        step: int | None = None, features: Mapping[str, DateFeature] | None = None) -> DataFrame:
     """Predict every scenario and day of ``future``; each model feeds on its own predictions.
 
-    History and future of one series meet in one task: a year of values and the
-    days ahead, so a group has a fixed size and series spread over the cluster in
-    a single shuffle. ``future`` carries the features that need no past value.
+    Block by block of ``step`` days, for all series and scenarios together: the state
+    is one row per (scenario, series) with the last year of values and what each
+    model has predicted so far. A block joins its days to the state, builds the lags from the
+    arrays, lets every model transform the rows, and writes the longer state to the
+    shared folder; the state before it is then removed. So work spreads over series and
+    scenarios, a row never exceeds a year plus the horizon, lineage is one block long, and a lost executor costs one block at most.
+    ``future`` carries the features that need no past value.
     """
     step = step or step_size(cfg)
     if step > step_size(cfg):
         raise ValueError(f"at most {step_size(cfg)} days can be predicted at once")
-    known, trees, reach = known_names(cfg, features), ensemble.trees, memory(cfg)
+    spark, names, line = future.sparkSession, ensemble.names, ["scenario", "unique_id"]
+    past = {n: f"_past{k}" for k, n in enumerate(names)}
     recent = history.select("unique_id", "ds", "y").where(F.col("y").isNotNull())
     newest = recent.groupBy("unique_id").agg(F.max("ds").alias("_last"))
-    recent = recent.join(newest, "unique_id").where(F.col("ds") > F.date_sub("_last", reach)).drop("_last")
-
-    def predict(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        start = past.sort_values("ds")["y"].to_numpy(float)
-        out = []
-        for _, days in ahead.groupby("scenario", sort=True):
-            days = days.sort_values("ds")
-            fixed = days[known].to_numpy(float)
-            result = days[["scenario", "unique_id", "ds"]].copy()
-            for name, model in trees.items():
-                values = start
-                for lo in range(0, len(days), step):
-                    block = fixed[lo:lo + step]
-                    rows = np.hstack([_lag_block(values, len(block), cfg), block])
-                    values = np.concatenate([values, model.predict(rows)])
-                result[name] = values[len(start):]
-            out.append(result)
-        if not out:
-            return pd.DataFrame(columns=["scenario", "unique_id", "ds", *trees])
-        return pd.concat(out)
-
-    schema = "scenario string, unique_id string, ds date, " + ", ".join(f"{n} double" for n in trees)
-    # Fresh column identities: both sides may come from the same stored series.
-    recent, future = recent.toDF(*recent.columns), future.toDF(*future.columns)
-    return (recent.groupBy("unique_id").cogroup(future.groupBy("unique_id"))
-            .applyInPandas(predict, schema))
+    recent = (recent.join(newest, "unique_id").where(F.col("ds") > F.date_sub("_last", memory(cfg)))
+              .groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("_held"))
+              .select("unique_id", F.col("_held.y").alias("_values")))
+
+    # One folder a block; the known features travel as one array, so a block's plan is short and the same for all blocks.
+    place = F.row_number().over(Window.partitionBy(*line).orderBy("ds")) - 1
+    fixed = F.array(*[_number(F.col(c)) for c in known_names(cfg, features)]).alias("_fixed")
+    ahead_path = work_path(spark, "ahead")
+    ahead = future.select(*line, "ds", fixed, place.alias("_place"))
+    (ahead.select("*", F.expr(f"_place % {step}").alias("_at"), F.expr(f"_place div {step}").cast("int").alias("_block"))
+     .write.partitionBy("_block").parquet(ahead_path))
+    ahead = spark.read.parquet(ahead_path)
+    day_schema = ahead.drop("_block").schema
+
+    state_path = work_path(spark, "state")
+    state = (ahead.select(*line).distinct().join(recent, "unique_id")
+             .select(*line, F.size("_values").alias("_known"), *[F.col("_values").alias(past[n]) for n in names]))
+    state.write.parquet(state_path)
+    blocks = ahead.agg(F.max("_block")).first()[0]
+    for block in range(0 if blocks is None else blocks + 1):
+        days = spark.read.schema(day_schema).parquet(f"{ahead_path}/_block={block}")
+        rows = days.join(spark.read.schema(state.schema).parquet(state_path), line)
+        rows = rows.select(*line, "_at", "_known", *past.values(), *[
+            array_to_vector(F.concat(F.array(*map(_number, _lag_features(past[n], cfg))), "_fixed")).alias(f"_features{k}")
+            for k, n in enumerate(names)])
+        for k, n in enumerate(names):
+            model = ensemble.models[n]
+            rows = model.transform(rows, {model.getParam("featuresCol"): f"_features{k}", model.getParam("predictionCol"): n})
+        made = rows.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("_at", *names))).alias("_made"), F.first("_known").alias("_known"),
+                                       *[F.first(past[n]).alias(past[n]) for n in names])
+        made = made.select(*line, "_known", *[F.concat(past[n], F.col("_made").getField(n)).alias(past[n]) for n in names])
+        next_path = work_path(spark, "state")
+        made.write.parquet(next_path)
+        remove_path(spark, state_path)
+        state_path = next_path
+    done = ahead.select(*line, "ds", "_place").join(spark.read.parquet(state_path), line)
+    return done.select(*line, "ds", *[F.get(past[n], F.col("_known") + F.col("_place")).alias(n) for n in names])
 
 
 def future_features(future: DataFrame, profile: DataFrame, cfg: SeriesConfig,

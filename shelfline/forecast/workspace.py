@@ -19,15 +19,20 @@ from shelfline.forecast import baseline, blend, series as S, trend_break
 from shelfline.forecast.ensemble import Ensemble, build_estimators, fit_ensemble, future_features, recursive_forecast
 from shelfline.forecast.features import feature_matrix
 from shelfline.forecast.profile import build_profile
+from shelfline.forecast.store import ModelStore, series_fingerprint
 from shelfline.session import stored
 from shelfline.sources import RetailTables
 
 
 class Workspace:
-    """``features``: date features (name to column function) in place of the usual ones, in fit and forecast alike."""
+    """``features``: date features (name to column function) in place of the usual ones, in fit and forecast alike.
 
-    def __init__(self, tables: RetailTables, config: ForecastConfig, features: Mapping[str, DateFeature] | None = None) -> None:
-        self.features = features
+    ``models``: folder of the trained models, for this and later applications.
+    """
+
+    def __init__(self, tables: RetailTables, config: ForecastConfig, features: Mapping[str, DateFeature] | None = None,
+                 models: str | None = None) -> None:
+        self.features, self.store = features, ModelStore(tables.spark, models)
         self.tables, self.cfg, self.blend_cfg = tables, config.series, config.blend
         self.params, self.trend_cfg, self.attribution_cfg = config.ensemble, config.trend, config.attribution
 
@@ -85,13 +90,17 @@ class Workspace:
     def full_matrix(self) -> DataFrame:
         return stored(feature_matrix(self.series, self.full_profile, self.cfg, self.features), "matrix")
 
+    def _trained(self, matrix: DataFrame, series: DataFrame) -> Ensemble:
+        known = series_fingerprint(series.select("unique_id", "ds", "y", self.cfg.regime_col))
+        return fit_ensemble(matrix, self.cfg, build_estimators(self.params), self.features, self.store, known)
+
     @cached_property
     def train_ensemble(self) -> Ensemble:
-        return fit_ensemble(self.train_matrix, self.cfg, build_estimators(self.params), self.features)
+        return self._trained(self.train_matrix, self.parts[0])
 
     @cached_property
     def full_ensemble(self) -> Ensemble:
-        return fit_ensemble(self.full_matrix, self.cfg, build_estimators(self.params), self.features)
+        return self._trained(self.full_matrix, self.series)
 
     @cached_property
     def ensemble_judged(self) -> DataFrame:

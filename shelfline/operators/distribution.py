@@ -10,12 +10,14 @@ position in its group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FAN = (16, 256)  # a cell is found in two steps of so many comparisons at least and at most
 VALUES_PER_CELL = 65_536
 SAMPLES_PER_CELL = 16
+BINS_PER_WIDTH, MOMENTS, REACH = 16, 6, 9.0  # of the density: see its error bound
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -129,19 +131,37 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def density(df: DataFrame, value: str, points: int) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid between the extremes.
 
-    Every distinct value adds to all ``points`` grid points; the sums combine on
-    the map side, so each task sends ``points`` rows through the shuffle.
+    Values are summed into bins of ``1 / BINS_PER_WIDTH`` bandwidths, each with the first six
+    moments about its centre, by a combining aggregate: the shuffle holds bins, not
+    values. A bin's kernel is its Taylor sum, exp(-(u - t)^2 / 2) = exp(-u^2 / 2) * sum of He_p(u) t^p / p!,
+    and only the grid points within REACH bandwidths of it are visited. With |t| <= 1 / 32 a
+    value's kernel (at most 1) is off by less than 2e-11, the sum of the tails that are left out by less than 1e-17.
+    Without any spread there is no density (NULL).
     """
-    x = value_counts(df.select(F.col(value).cast("double").alias("_x")), [], "_x")
-    shape = df.select(F.col(value).cast("double").alias("_x")).agg(
-        F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    grid = x.crossJoin(F.broadcast(shape)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)
-    width = F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    z = (at - F.col("_x")) / width
-    return (grid.groupBy("point", "_n", "_s", "_lo", "_hi").agg(F.sum(F.col("copies") * F.exp(-0.5 * z * z)).alias("_k"))
-            .select("point", at.alias("x"),
-                    (F.col("_k") / (F.col("_n") * width * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")))
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))
+    shape = x.agg(F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    width = F.nullif(F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)), F.lit(0.0))
+    shape = shape.where("_n > 0").select("*", width.alias("_h"))
+    centre = F.col("_lo") + (F.col("_bin") + 0.5) * F.col("_h") / BINS_PER_WIDTH
+    t = (F.col("_x") - centre) / F.col("_h")
+    moments = [F.sum(F.pow(F.col("_t"), F.lit(float(p)))).alias(f"_m{p}") for p in range(MOMENTS)]
+    bins = (x.crossJoin(F.broadcast(shape)).where(F.col("_h").isNotNull())
+            .withColumn("_bin", F.floor((F.col("_x") - F.col("_lo")) * BINS_PER_WIDTH / F.col("_h"))).withColumn("_t", t)
+            .groupBy("_bin").agg(*moments))
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    near = lambda side: (centre + side * REACH * F.col("_h") - F.col("_lo")) / step
+    seen = bins.crossJoin(F.broadcast(shape)).withColumn("point", F.explode(F.sequence(
+        F.greatest(F.ceil(near(-1)), F.lit(0)).cast("int"), F.least(F.floor(near(1)), F.lit(points - 1)).cast("int"))))
+    seen = seen.withColumn("_u", (F.col("_lo") + step * F.col("point") - centre) / F.col("_h"))
+    hermite, u = [F.lit(1.0), F.col("_u")], F.col("_u")
+    for p in range(2, MOMENTS):
+        hermite.append(u * hermite[-1] - (p - 1) * hermite[-2])
+    taylor = sum((F.col(f"_m{p}") * hermite[p] / float(factorial(p)) for p in range(1, MOMENTS)), F.col("_m0"))
+    kernel = seen.groupBy("point").agg(F.sum(F.exp(-0.5 * u * u) * taylor).alias("_k"))
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    scale = F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())
+    return grid.join(kernel, "point", "left").select(
+        "point", (F.col("_lo") + step * F.col("point")).alias("x"), (F.coalesce("_k", F.lit(0.0)) / scale).alias("density"))
 
 
 def box_stats(df: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:

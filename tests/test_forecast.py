@@ -17,6 +17,7 @@ from shelfline.forecast.ensemble import (build_estimators, fit_ensemble, future_
 from shelfline.forecast.features import feature_matrix, feature_names
 from shelfline.forecast.metrics import forecast_metrics, model_errors, nested_evaluation
 from shelfline.forecast.profile import build_profile
+from shelfline.forecast.store import ModelStore, series_fingerprint
 from shelfline.forecast.submission import export, export_scenarios, to_submission
 from shelfline.forecast.trees import TreeArrays, contributions, tree_arrays
 from shelfline.session import work_path
@@ -230,11 +231,70 @@ def test_own_date_features_reach_the_forecast(trained):
     assert len(predicted) == 3 * 9 and not predicted.isna().any().any()
 
 
-def test_only_boosted_trees_are_members(trained):
+def test_any_regression_is_a_member(spark, trained):
+    """Another estimator class predicts, feeds on its own predictions and is stored like the trees."""
     from pyspark.ml.regression import LinearRegression
 
-    with pytest.raises(TypeError, match="line"):
-        fit_ensemble(trained[0], CFG, {"line": LinearRegression()})
+    history, profile, _ = trained
+    line = LinearRegression(featuresCol="features", labelCol="y", regParam=1.0, solver="normal")
+    ensemble = fit_ensemble(feature_matrix(history, profile, CFG), CFG, {"line": line, **build_estimators(dict(list(quick_ensemble(2, 2).items())[:1]))})
+    assert ensemble.names == ["line", "gbt_base"]
+    ahead = future_features(S.future_frame(history, CFG, horizon=9), profile, CFG)
+    predicted = recursive_forecast(ensemble, history, ahead, CFG).toPandas()
+    assert len(predicted) == 3 * 9 and not predicted.isna().any().any() and (predicted["line"] != predicted["gbt_base"]).any()
+
+
+def test_models_are_kept_and_read_back(spark, trained, tmp_path):
+    history, profile, _ = trained
+    matrix = feature_matrix(history, profile, CFG)
+    params = dict(list(quick_ensemble(2, 2).items())[:2])
+    store = ModelStore(spark, str(tmp_path / "models"))
+    first = fit_ensemble(matrix, CFG, build_estimators(params), store=store)
+    folders = {p.name for p in (tmp_path / "models").iterdir()}
+    assert len(folders) == 2
+
+    class Refuses:
+        def __getattr__(self, name):
+            raise AssertionError("trained again")
+
+    names = feature_names(CFG)
+    again = store.fit(build_estimators(params), names, series_fingerprint(matrix.select("unique_id", "ds", "y")), Refuses)
+    assert [m.toDebugString for m in again.values()] == [m.toDebugString for m in first.models.values()]
+    assert {p.name for p in (tmp_path / "models").iterdir()} == folders
+    # Another series, another setting or other features are other models.
+    e, known = build_estimators(params)["gbt_base"], series_fingerprint(matrix.select("unique_id", "ds", "y"))
+    places = {store.path(e, names, known), store.path(e.copy().setMaxIter(3), names, known), store.path(e, names[1:], known),
+              store.path(e, names, series_fingerprint(matrix.select("unique_id", "ds", (F.col("y") + 0.01).alias("y"))))}
+    assert len(places) == 4 and store.path(build_estimators(params)["gbt_base"], names, known) in places
+
+
+def test_a_stopped_fit_goes_on_with_the_missing_member(spark, trained, tmp_path):
+    history, profile, _ = trained
+    matrix = feature_matrix(history, profile, CFG)
+    params = dict(list(quick_ensemble(2, 2).items())[:2])
+    store = ModelStore(spark, str(tmp_path / "models"))
+    one = dict(list(params.items())[:1])
+    fit_ensemble(matrix, CFG, build_estimators(one), store=store)
+    (held,) = (tmp_path / "models").iterdir()
+    stamp = held.stat().st_mtime_ns
+    assert fit_ensemble(matrix, CFG, build_estimators(params), store=store).names == list(params)
+    assert held.stat().st_mtime_ns == stamp and len(list((tmp_path / "models").iterdir())) == 2
+
+
+def test_recursion_on_a_series_shorter_than_a_year(spark, trained):
+    """Lags before the first day are unknown, not an error; the state holds all series and scenarios at once."""
+    history, profile, ensemble = trained
+    short = history.where(F.col("ds") >= F.lit(START + timedelta(440)))
+    ahead = future_features(S.future_frame(short, CFG, ("non_covid", "covid"), horizon=15), profile, CFG)
+    predicted = recursive_forecast(ensemble, short, ahead, CFG).toPandas()
+    assert len(predicted) == 2 * 3 * 15 and not predicted.isna().any().any()
+
+
+def test_candidate_blocks_spread_two_series(judged):
+    cfg = BlendConfig()
+    scored = B.score_candidates(judged, MODELS, B.weight_candidates(3, cfg), cfg)
+    assert scored.select(F.spark_partition_id()).distinct().count() > 2
+    assert {r.unique_id: r["count"] for r in scored.groupBy("unique_id").count().collect()} == {"Revenue": 5004, "COGS": 5004}
 
 
 def test_one_step_equals_the_feature_matrix(spark, trained):

@@ -200,3 +200,26 @@ def test_contract_counts_keys_without_gathering_them(spark):
     assert unique_by(df, ["k"]).count() == 3000
     with pytest.raises(Exception, match="not unique"):
         unique_by(df.unionByName(df.where("id = 1")), ["k"]).collect()
+
+
+def test_density_is_within_its_error_bound(spark):
+    """Against the plain sum over all values, for even, skewed, far-off and few values."""
+    import numpy as np
+
+    from shelfline.operators.distribution import density
+
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(3, 2, 4000), rng.gamma(0.3, 5, 3000), np.r_[rng.normal(0, 1, 500), 400.0], np.array([1.0, 2.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = {r.point: (r.x, r.density) for r in density(df, "v", 50).collect()}
+        width = values.std(ddof=1) * len(values) ** -0.2
+        at = np.linspace(values.min(), values.max(), 50)
+        want = np.exp(-0.5 * ((at[:, None] - values) / width) ** 2).sum(1) / (len(values) * width * np.sqrt(2 * np.pi))
+        assert sorted(got) == list(range(50)) and np.allclose([got[k][0] for k in range(50)], at)
+        assert np.abs(np.array([got[k][1] for k in range(50)]) - want).max() <= 2e-11 / (width * np.sqrt(2 * np.pi))
+    plan = density(df, "v", 50)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Generate"):] if "_bin" not in plan else plan[plan.index("Aggregate [_bin"):]
+    assert "Aggregate [_bin" in plan and "Generate explode" not in below.split("Generate explode(sequence(0, 49")[0].split("Aggregate [_bin", 1)[-1]
+    same = spark.createDataFrame([(1.0,), (1.0,)], "v double")
+    assert all(r.density is None for r in density(same, "v", 5).collect())
+    assert density(same.where("false"), "v", 5).count() == 0
