@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.config import LagAgg, SeriesConfig, TreeParams
 from shelfline.forecast.calendar import DateFeature
-from shelfline.forecast.features import feature_names, known_features, known_names, lag_names
+from shelfline.forecast.features import feature_names, known_features, known_names, lag_names, reach
 from shelfline.forecast.store import ModelStore, series_fingerprint
 from shelfline.forecast.trees import TreeArrays, tree_arrays
 from shelfline.session import remove_path, shared_folder, work_path
@@ -91,7 +91,7 @@ def step_size(cfg: SeriesConfig) -> int:
 
 def memory(cfg: SeriesConfig) -> int:
     """Past days a feature can reach."""
-    return max([*cfg.lags, *[r.lag + r.window - 1 for r in cfg.rolling]])
+    return reach(cfg)
 
 
 def _number(value: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfline.config import WEEKS, LagAgg, SeriesConfig
 from shelfline.forecast.calendar import DATE_FEATURES, DateFeature, calendar_columns, harmonic_columns, onehot_columns
 from shelfline.forecast.profile import PROFILE_COLUMNS
+from shelfline.forecast.series import placed
 from shelfline.functions import iso_week
 
+#: Rows of a series whose lags one task makes at once.
+CHUNK_ROWS = 4096
 _FNS = {"mean": F.avg, "max": F.max, "min": F.min}
 
 
@@ -39,12 +42,33 @@ def rolling_column(spec: LagAgg, value: str, line) -> Column:
     return _FNS[spec.fn](value).over(frame).alias(spec.name)
 
 
-def lag_columns(cfg: SeriesConfig, value: str = "y") -> list[Column]:
-    line = Window.partitionBy("unique_id").orderBy("ds")
+def reach(cfg: SeriesConfig) -> int:
+    """Past rows a feature can reach."""
+    return max([*cfg.lags, *[r.lag + r.window - 1 for r in cfg.rolling]])
+
+
+def lag_columns(cfg: SeriesConfig, value: str = "y", line=None) -> list[Column]:
+    line = line or Window.partitionBy("unique_id").orderBy("ds")
     lags = [F.lag(value, n).over(line).alias(f"lag{n}") for n in cfg.lags]
     return lags + [rolling_column(spec, value, line) for spec in cfg.rolling]
 
 
+def with_lags(series: DataFrame, cfg: SeriesConfig) -> DataFrame:
+    """Add lags and rolling statistics, chunk by chunk.
+
+    A chunk is CHUNK_ROWS places of a series. The last rows of a chunk, as many as a
+    feature can reach back, are copied into the chunk behind it, where they serve
+    as the past only. So windows are exact and no task holds more than a chunk of a series.
+    """
+    place = F.col("_rn") - 1
+    own = F.floor(place / F.lit(CHUNK_ROWS))
+    copied = placed(series).select(*series.columns, "_rn", own.alias("_own"), F.explode(
+        F.sequence(own, F.floor((place + reach(cfg)) / F.lit(CHUNK_ROWS)))).alias("_part"))
+    line = Window.partitionBy("unique_id", "_part").orderBy("_rn")
+    lagged = copied.select(*series.columns, "_own", "_part", *lag_columns(cfg, "y", line))
+    return lagged.where(F.col("_own") == F.col("_part")).drop("_own", "_part")
+
+
 def attach_week(df: DataFrame, profile: DataFrame, cfg: SeriesConfig) -> DataFrame:
     """Week number, harmonics, one-hot and the profile row of the day's week."""
     marked = df.select("*", iso_week(F.col("ds")).alias("woy_week"), *harmonic_columns(cfg), *onehot_columns(cfg))
@@ -62,7 +86,7 @@ def known_features(df: DataFrame, profile: DataFrame, cfg: SeriesConfig,
 def feature_matrix(series: DataFrame, profile: DataFrame, cfg: SeriesConfig,
                    features: Mapping[str, DateFeature] | None = None) -> DataFrame:
     """unique_id, ds, y and all features; days without a full set of lags are left out."""
-    lagged = series.select("*", *lag_columns(cfg)).na.drop(subset=lag_names(cfg))
+    lagged = with_lags(series, cfg).na.drop(subset=lag_names(cfg))
     return known_features(lagged, profile, cfg, features).select("unique_id", "ds", "y", *feature_names(cfg, features))
 
 

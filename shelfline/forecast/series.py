@@ -6,14 +6,17 @@ day, so windows over one series stay small however many series there are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.config import SeriesConfig
 from shelfline.operators.reshape import to_long
 
+#: Days of a series that one task orders at once.
+CHUNK_DAYS = 4096
 SCENARIOS = ("non_covid", "covid", "auto")
 
 
@@ -41,20 +44,49 @@ def fill_calendar(series: DataFrame, keys: Sequence[str] = ("unique_id",), ds: s
     return days.join(series, [*keys, ds], "left")
 
 
+def placed(series: DataFrame, keys: Sequence[str] = ("unique_id",), ds: str = "ds",
+           marks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add ``_rn``, the row's place in its series from 1, and ``_chunk``, without a window over a whole series.
+
+    Rows are numbered inside chunks of CHUNK_DAYS days (``_in``); chunk totals, one row a chunk,
+    shift them. ``marks`` are aggregates of a chunk that give structs with a place
+    ``p``: ``_old`` brings the latest one of earlier chunks and ``_new`` the earliest of later chunks,
+    with ``p`` as a place in the series.
+    """
+    chunk = F.floor(F.unix_date(F.col(ds)) / F.lit(CHUNK_DAYS))
+    rows = series.withColumn("_chunk", chunk)
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(ds)).cast("long"))
+    totals = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *[m.alias(n) for n, m in (marks or {}).items()])
+    line = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    totals = totals.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    for n in marks or {}:
+        moved = F.when(F.col(n).isNotNull(), F.struct((F.col(f"{n}.p") + F.col("_shift")).alias("p"), F.col(f"{n}.v").alias("v")))
+        totals = totals.withColumn(n, moved)
+    carried = {"_old": lambda c: F.last(c, True).over(earlier), "_new": lambda c: F.first(c, True).over(later)}
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_chunk").alias("_of"), "_shift",
+                           *[carried[n](F.col(n)).alias(n) for n in marks or {}])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_chunk") == F.col("_of"))
+    return rows.join(totals, same).withColumn("_rn", F.col("_in") + F.col("_shift")).drop("_of", "_shift", *[f"_{k}" for k in keys])
+
+
 def fill_gaps(series: DataFrame, value: str = "y", keys: Sequence[str] = ("unique_id",), ds: str = "ds") -> DataFrame:
-    """Linear fill between known values by position; the tail repeats the last one, the head stays NULL."""
-    line = Window.partitionBy(*keys).orderBy(ds)
+    """Linear fill between known values by position; the tail repeats the last one, the head stays NULL.
+
+    Runs by chunk: a chunk takes the last known value before it and the next one
+    behind it from the chunk summaries (see ``placed``), so no task holds a whole series.
+    """
+    at = F.when(F.col(value).isNotNull(), F.struct(F.col("_in").alias("p"), F.col(value).alias("v")))
+    chunks = placed(series, keys, ds, {"_old": F.max(at), "_new": F.min(at)})
+    line = Window.partitionBy(*keys, "_chunk").orderBy("_rn")
     back = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    spot = F.when(F.col(value).isNotNull(), F.col("_rn"))
-    placed = series.withColumn("_rn", F.row_number().over(line))
-    known = placed.select(
-        "*", F.last(value, True).over(back).alias("_y0"), F.last(spot, True).over(back).alias("_p0"),
-        F.first(value, True).over(ahead).alias("_y1"), F.first(spot, True).over(ahead).alias("_p1"))
-    between = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (
-        (F.col("_rn") - F.col("_p0")) / F.nullif(F.col("_p1") - F.col("_p0"), F.lit(0)))
-    return known.withColumn(value, F.coalesce(F.col(value), between, F.col("_y0"))).drop(
-        "_rn", "_y0", "_p0", "_y1", "_p1")
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col("_rn").alias("p"), F.col(value).alias("v")))
+    known = chunks.select("*", F.coalesce(F.last(here, True).over(back), F.col("_old")).alias("_k0"),
+                          F.coalesce(F.first(here, True).over(ahead), F.col("_new")).alias("_k1"))
+    between = F.col("_k0.v") + (F.col("_k1.v") - F.col("_k0.v")) * (
+        (F.col("_rn") - F.col("_k0.p")) / F.nullif(F.col("_k1.p") - F.col("_k0.p"), F.lit(0)))
+    return known.withColumn(value, F.coalesce(F.col(value), between, F.col("_k0.v"))).select(*series.columns)
 
 
 def load_series(sales: DataFrame, cfg: SeriesConfig, dense: bool = True) -> DataFrame:
