@@ -3,7 +3,8 @@
 Texts are parsed once: each task joins them by language into rows of about ROW_BYTES,
 stores a row's words as local codes (0 where a piece ends) and lists its distinct
 words with their counts. Those lists, not the texts, are shuffled: they give every
-word's frequency, and each row gets the global numbers of its frequent words back.
+word's frequency. Each row then gets the global numbers of its frequent words, from a broadcast
+if there are at most SHARD_PHRASES of them, else by a join.
 
 Then phrases grow by one word a round. The frequent phrases of a round are cut into shards of
 at most SHARD_PHRASES, and a task builds each shard's double-array trie (`Trie`),
@@ -15,6 +16,7 @@ of the next round: an accepting position and the word behind it, where (with a
 single shard) the next position accepts as well, so both shorter parts of a candidate
 are frequent. The candidates' own support, summed over all texts, must reach
 `least`; nothing that is frequent can be missed, and no pairs are made that no text holds.
+Pairs of (phrase, word) are merged within a task and shuffled as sorted, compressed numbers by hash group.
 
 Passes follow the number of shards. Cuts are looked up by joins on word numbers, and
 products are decimals of 38 digits.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -41,10 +44,12 @@ from shelfline.llm.places import placed
 from shelfline.session import stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-ROW_BYTES = 8 << 20
-SHARD_PHRASES = 1 << 19
-#: Free places tried at once and how often, before a node's children go behind all others.
-TRIED, TRIALS = 1024, 8
+ROW_BYTES = 32 << 20
+SHARD_PHRASES = 1 << 18
+#: Pairs that a task holds before it sends them; words of all texts for each group in which pairs are summed.
+HELD_PAIRS, GROUP_WORDS = 4_000_000, 2_000_000
+#: Places tried at once and how often, before a node's children go behind all others; from how many children on they are many.
+TRIED, TRIALS, MANY = 4096, 64, 8
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BOUNDARY = re.compile(rb"[.,;:!?\n-\r]")
@@ -178,7 +183,7 @@ class _Places:
         self.codes = codes
         self.used = np.zeros(4 * codes + 1024, bool)
         self.used[:codes + 2] = True
-        self.low, self.top = codes + 2, codes + 2
+        self.low = self.top = self.hint = codes + 2
         self.base: list[np.ndarray] = []
         self.check: list[np.ndarray] = []
 
@@ -187,22 +192,27 @@ class _Places:
             self.used = np.concatenate([self.used, np.zeros(end + len(self.used), bool)])
 
     def _fit(self, offsets: np.ndarray) -> int:
-        """First place from which all `offsets` are free."""
-        at = self.low
+        """First place from which all `offsets` are free; many children look behind where the last many went."""
+        many = len(offsets) >= MANY
+        at = self.hint if many else self.low
         for _ in range(TRIALS):
             self._reach(self.top + self.codes + TRIED)
-            free = np.flatnonzero(~self.used[at:at + 4 * TRIED])[:TRIED] + at
             if at >= self.top:
                 break
-            last = int(free[-1]) + 1 if len(free) else at + 4 * TRIED
+            free = np.flatnonzero(~self.used[at:at + TRIED]) + at
             for offset in offsets[1:]:
                 free = free[~self.used[free + offset]]
                 if not len(free):
                     break
             if len(free):
-                return int(free[0])
-            at = last
-        return self.top
+                at = int(free[0])
+                break
+            at += TRIED
+        else:
+            at = self.top
+        if many:
+            self.hint = at
+        return at
 
     def add(self, parents: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Places for the edges (parent, code), given parent by parent; returns them and keeps base and check."""
@@ -218,8 +228,8 @@ class _Places:
             self.used[out[mine]] = True
             self.top = max(self.top, int(out[mine][-1]) + 1)
             while self.low < self.top and self.used[self.low]:
-                gap = np.flatnonzero(~self.used[self.low:self.low + 4 * TRIED])
-                self.low += int(gap[0]) if len(gap) else min(4 * TRIED, len(self.used) - self.low)
+                gap = np.flatnonzero(~self.used[self.low:self.low + TRIED])
+                self.low += int(gap[0]) if len(gap) else min(TRIED, len(self.used) - self.low)
         single = firsts[sizes == 1]
         self._reach(self.top + len(single) + 1)
         free = np.flatnonzero(~self.used[:self.top + len(single) + 1])[:len(single)]
@@ -241,27 +251,59 @@ class _Places:
         return base, check
 
 
-def scan(texts: DataFrame, shard: dict[str, bytes] | None, length: int, whole: bool, grow: bool) -> DataFrame:
-    """phrase, word, n: how often `word` follows a phrase of `length` words; word null: how often the phrase occurs.
-
-    Without a shard, phrases are the single words themselves and only followers are counted.
+def _pack(keys: np.ndarray, n: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Sorted pairs and their counts, cut by a hash of the pair into groups; sorted numbers compress to a few bits each."""
+    group = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    order = np.argsort(group, kind="stable")
+    keys, n, group = keys[order], n[order], group[order]
+    starts = np.flatnonzero(np.diff(group, prepend=np.uint64(groups)))
+    squeeze = zstandard.ZstdCompressor(1).compress
+    # Differences byte by byte: the high bytes are runs of zeros.
+    parts = [np.diff(k, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for k in np.split(keys, starts[1:])]
+    return pa.RecordBatch.from_arrays([
+        pa.array(group[starts].astype(np.int64), pa.int64()), pa.array(map(squeeze, parts), pa.binary()),
+        pa.array([squeeze(np.minimum(c, 255).astype(np.uint8).tobytes()) for c in np.split(n, starts[1:])], pa.binary()),
+        pa.array([c[c >= 255].tobytes() for c in np.split(n, starts[1:])], pa.binary())], names=["grp", "pairs", "counts", "large"])
+
+
+def _sum_pairs(rows: pa.Table) -> pa.Table:
+    """Counts of every pair of a group over all tasks."""
+    loose = zstandard.ZstdDecompressor().decompress
+    keys, counts = [], []
+    for pairs, few, large in zip(*(rows.column(c).to_pylist() for c in ("pairs", "counts", "large"))):
+        raw = np.frombuffer(loose(pairs), np.uint8)
+        keys.append(np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()))
+        n = np.frombuffer(loose(few), np.uint8).astype(np.int64)
+        n[n == 255] = np.frombuffer(large, np.int64)
+        counts.append(n)
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return pa.table({"phrase": keys >> 32, "word": keys & 0xFFFFFFFF, "n": total})
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    each, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return each, np.bincount(at, np.concatenate(counts), len(each)).astype(np.int64)
+
+
+def scan(texts: DataFrame, shard: dict[str, bytes] | None, length: int, whole: bool, grow: bool, groups: int = 1) -> DataFrame:
+    """What follows, and how often, the phrases of `length` words: packed pairs of (phrase, word) by group.
+
+    A phrase's own count is a pair with word 0. Without a shard, phrases
+    are the single words themselves and only followers are counted. Phrase and word numbers must fit 31 and 32 bits.
     """
     sent = None if shard is None else texts.sparkSession.sparkContext.broadcast(shard)
-    schema = "phrase long, word long, n long"
-    target = arrow_schema(schema)
-
-    def rows(phrase: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.nulls(len(n), pa.int64()) if word is None else
-                                           pa.array(word, pa.int64()), pa.array(n, pa.int64())], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = None if sent is None else Trie.from_bytes(sent.value)
         total = None if trie is None else np.zeros(len(trie.base), np.int64)
+        keys, counts, held = [], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(0)[k].as_py()), np.int32)
                 at, number = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2))
-                known = np.zeros(max(int(codes.max()), int(at.max())) + 1, np.int64)
+                known = np.zeros(max(int(codes.max()), int(at.max(initial=0))) + 1, np.int64)
                 known[at] = number
                 if trie is None:
                     states = np.where(known[codes] > 0, codes, 0)
@@ -273,17 +315,29 @@ def scan(texts: DataFrame, shard: dict[str, bytes] | None, length: int, whole: b
                     if whole:
                         here &= states[1:] > 0
                     here = np.flatnonzero(here)
-                    behind = codes[here + length]
-                    fit = known[behind] > 0
-                    pairs, n = np.unique(states[here[fit]].astype(np.int64) * len(known) + behind[fit], return_counts=True)
-                    phrase, word = pairs // len(known), known[pairs % len(known)]
-                    yield rows(known[phrase] if trie is None else trie.phrase[phrase], word, n)
+                    behind = known[codes[here + length]]
+                    fit = behind > 0
+                    phrase = known[states[here[fit]]] if trie is None else trie.phrase[states[here[fit]]]
+                    pairs, n = np.unique(phrase << 32 | behind[fit], return_counts=True)
+                    keys.append(pairs)
+                    counts.append(n)
+                    held += len(pairs)
+                    if held > HELD_PAIRS:
+                        keys, counts = ([x] for x in _merged(keys, counts))
+                        held = len(keys[0])
+                        if held > HELD_PAIRS // 2:
+                            yield _pack(keys[0], counts[0], groups)
+                            keys, counts, held = [], [], 0
+        if held:
+            yield _pack(*_merged(keys, counts), groups)
         if trie is not None:
             hit = np.flatnonzero(total[1:]) + 1
             hit = hit[trie.phrase[hit] >= 0]
-            yield rows(trie.phrase[hit], None, total[hit])
+            hit = hit[np.argsort(trie.phrase[hit])]
+            if len(hit):
+                yield _pack(trie.phrase[hit] << 32, total[hit], groups)
 
-    return texts.select("codes", "at", "number").mapInArrow(run, schema)
+    return texts.select("codes", "at", "number").mapInArrow(run, "grp long, pairs binary, counts binary, large binary")
 
 
 def tries(phrases: DataFrame, name: str) -> DataFrame:
@@ -298,6 +352,29 @@ def tries(phrases: DataFrame, name: str) -> DataFrame:
         run, "shard long, " + ", ".join(f"{k} binary" for k in Trie.FIELDS)), name)
 
 
+def _numbered(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """codes, at, number of each row with a broadcast of at most SHARD_PHRASES words."""
+    held = words.select("lang", "word", "number").toArrow()
+    of = {lang: held.filter(pc.equal(held["lang"], lang)) for lang in held["lang"].unique().to_pylist()}
+    sent = rows.sparkSession.sparkContext.broadcast(
+        {lang: (t["word"].combine_chunks().cast(pa.binary()), t["number"].to_numpy().astype(np.int64)) for lang, t in of.items()})
+    target = arrow_schema("codes binary, at array<int>, number array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                known, number = sent.value.get(batch.column(0)[k].as_py(), (None, None))
+                if known is not None:
+                    found = pc.index_in(batch.column(2)[k].values.cast(pa.binary()), value_set=known)
+                    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                    if len(at):
+                        number = number[found.drop_null().to_numpy()]
+                        yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, 1).cast(pa.binary()), pa.array([(at + 1).astype(np.int32)], target.field("at").type),
+                                                          pa.array([number], target.field("number").type)], schema=target)
+
+    return rows.select("lang", "codes", "words").mapInArrow(run, "codes binary, at array<int>, number array<long>")
+
+
 def texts_and_words(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored texts (codes, at, number), words (lang, word, f, number) and totals (lang, n)."""
     rows = stored(parse(docs), "phrase-rows")
@@ -308,9 +385,12 @@ def texts_and_words(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     words = placed(often.withColumn("all", F.lit(0)), "all", ["lang", "word"], "phrase-order") \
         .select("lang", "word", "f", (F.col("pos") + 1).alias("number"))
     words = stored(words, "phrase-vocabulary")
-    numbers = each.select("row", "lang", "at", "word").join(words.select("lang", "word", "number"), ["lang", "word"]) \
-        .groupBy("row").agg(F.collect_list(F.struct("at", "number")).alias("known"))
-    texts = rows.select("row", "codes").join(numbers, "row").select("codes", F.col("known.at").alias("at"), F.col("known.number").alias("number"))
+    if words.count() <= SHARD_PHRASES:
+        texts = _numbered(rows, words)
+    else:
+        numbers = each.select("row", "lang", "at", "word").join(words.select("lang", "word", "number"), ["lang", "word"]) \
+            .groupBy("row").agg(F.collect_list(F.struct("at", "number")).alias("known"))
+        texts = rows.select("row", "codes").join(numbers, "row").select("codes", F.col("known.at").alias("at"), F.col("known.number").alias("number"))
     return stored(texts, "phrase-texts"), words, stored(totals, "phrase-totals")
 
 
@@ -320,7 +400,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     singles = words.select("lang", F.array("number").alias("ids"), F.col("word").alias("phrase"), "f")
     found, counted = [singles], None
     spark = docs.sparkSession
-    shards: list[dict[str, bytes] | None] = [None]
+    groups = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS
     known = words.select(F.col("number").alias("nr"), "lang", F.array("number").alias("ids"), F.col("word").alias("phrase"))
     for length in range(1, longest + 1):
         grow = length < longest
@@ -332,17 +412,18 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
         paths = []
         for k in range(n_shards):
             shard = None if made is None else {f: bytes(v) for f, v in made.where(F.col("shard") == k).drop("shard").first().asDict().items()}
-            sums = scan(texts, shard, length, n_shards == 1, grow).groupBy("phrase", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            sums = scan(texts, shard, length, n_shards == 1, grow, groups).groupBy("grp").applyInArrow(
+                _sum_pairs, "phrase long, word long, n long").where(F.col("n") >= least)
             paths.append(kept_path(sums, f"phrase-pass{length}"))
         if not paths:
             break
         sums = spark.read.parquet(*paths)
         if length > 1:
-            counts = sums.where("word is null").select(F.col("phrase").alias("nr"), F.col("n").alias("f"))
+            counts = sums.where("word = 0").select(F.col("phrase").alias("nr"), F.col("n").alias("f"))
             found.append(stored(known.join(counts, "nr").select("lang", "ids", "phrase", "f"), f"phrase-found{length}"))
         if grow:
             after = words.select(F.col("number").alias("word"), F.col("word").alias("last"))
-            next_ = sums.where("word is not null").select(F.col("phrase").alias("nr"), "word").join(known, "nr").join(after, "word") \
+            next_ = sums.where("word > 0").select(F.col("phrase").alias("nr"), "word").join(known, "nr").join(after, "word") \
                 .select("lang", F.concat("ids", F.array("word")).alias("ids"), F.concat("phrase", F.lit(b" "), "last").alias("phrase"), F.lit(0).alias("all"))
             next_ = placed(stored(next_, f"phrase-candidates{length + 1}"), "all", ["ids"], f"phrase-order{length + 1}")
             known = stored(next_.select(F.col("pos").alias("nr"), (F.expr(f"pos div {SHARD_PHRASES}")).alias("shard"), "lang", "ids", "phrase"),
