@@ -195,7 +195,7 @@ def sku_performance(t: RetailTables) -> DataFrame:
         F.round(F.avg("sell_through_rate"), 10).alias("avg_sell_through_rate"),
         sum0("units_sold").alias("total_units_sold_inventory"), F.avg("stock_on_hand").alias("avg_stock_on_hand"),
         F.avg("days_of_supply").alias("avg_days_of_supply"))
-    lines = t.master_once(["order_item_id", *SKU, "quantity", "line_revenue", "refund_amount",
+    lines = t.lines(["order_item_id", *SKU, "quantity", "line_revenue", "refund_amount",
                            "order_status"]).where(is_valid())
     net = F.col("line_revenue") - F.coalesce(F.col("refund_amount"), F.lit(0))
     revenue = group(lines.withColumn("net", net), *SKU).agg(

@@ -68,7 +68,7 @@ def promo_share_by_year(t: RetailTables) -> DataFrame:
 def _lines(t: RetailTables, *columns: str) -> DataFrame:
     own = list(dict.fromkeys(["order_item_id", "order_status", "promo_id", *columns]))
     flag = promo_group(has_promo())
-    return t.master_once(own).where(is_valid()).withColumn("promo_group", flag)
+    return t.lines(own).where(is_valid()).withColumn("promo_group", flag)
 
 
 def _margin(discount_already_net: bool) -> Column:
@@ -199,7 +199,7 @@ def discount_effect_long(t: RetailTables) -> DataFrame:
 
 def promo_units(t: RetailTables) -> DataFrame:
     """Units per category and promo group; here any promo id at all makes a promo line."""
-    lines = t.master_once(["order_item_id", "category", "quantity", "promo_id", "order_status"]).where(is_valid())
+    lines = t.lines(["order_item_id", "category", "quantity", "promo_id", "order_status"]).where(is_valid())
     units = group(lines.withColumn("promo_group", promo_group(F.col("promo_id").isNotNull())),
                   "category", "promo_group").agg(sum0("quantity").alias("units_sold"))
     return share_within(units, ["category"], "units_sold", "units_share_pct")

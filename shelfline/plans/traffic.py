@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline import config as C
 from shelfline.functions import month_start, percent, safe_ratio, sum0
+from shelfline.operators.distinct import distinct_counts
 from shelfline.operators.keyed import group, share_of_total, share_within
 from shelfline.operators.reshape import to_long, to_wide, values_of
 from shelfline.sources import RetailTables
@@ -81,7 +82,7 @@ def orders_by_source(t: RetailTables) -> DataFrame:
 
 def revenue_by_source(t: RetailTables) -> DataFrame:
     """Net and gross revenue of valid order lines; lines are unique after de-duplication."""
-    lines = t.master_once(["order_item_id", "order_source", "line_revenue", "refund_amount", "order_status"])
+    lines = t.lines(["order_item_id", "order_source", "line_revenue", "refund_amount", "order_status"])
     net = F.col("line_revenue") - F.coalesce(F.col("refund_amount"), F.lit(0))
     return group(lines.where(is_valid()).withColumn("net", net), "order_source").agg(
         sum0("net").alias("net_revenue"), sum0("line_revenue").alias("gross_revenue"),
@@ -179,10 +180,19 @@ def source_quality(t: RetailTables) -> DataFrame:
 # --- orders inside the traffic window ----------------------------------------
 
 def within_traffic(t: RetailTables) -> Column:
-    """Whether an order date lies within the traffic history, both ends included."""
+    """Whether an order date lies within the traffic history, both ends included.
+
+    Where orders are stored by month, the months of both ends say which folders are read.
+    """
     dates = t.web_traffic()
-    first, last = (dates.select(fn("date")).scalar() for fn in (F.min, F.max))
-    return F.col("order_date").between(first, last)
+
+    def ends(value: Column) -> tuple[Column, Column]:
+        return tuple(dates.select(fn(value)).scalar() for fn in (F.min, F.max))
+
+    inside = F.col("order_date").between(*ends(F.col("date")))
+    if t.MONTH:
+        inside &= F.col(t.MONTH).between(*ends(month_start(F.col("date"))))
+    return inside
 
 
 def window_orders(t: RetailTables) -> DataFrame:
@@ -194,8 +204,8 @@ def window_orders(t: RetailTables) -> DataFrame:
 def window_lines(t: RetailTables, columns: tuple[str, ...] = (
         "order_id", "customer_id", "order_source", "category", "quantity", "line_revenue")) -> DataFrame:
     """Unique valid order lines whose order lies within the traffic history."""
-    own = list(dict.fromkeys(["order_item_id", "order_id", "order_status", "order_date", *columns]))
-    return t.master_once(own).where(is_valid() & within_traffic(t)).select("order_item_id", *columns)
+    own = list(dict.fromkeys(["order_item_id", "order_id", "order_status", "order_date", *([t.MONTH] if t.MONTH else []), *columns]))
+    return t.lines(own).where(is_valid() & within_traffic(t)).select("order_item_id", *columns)
 
 
 def _window_order_level(t: RetailTables) -> DataFrame:
@@ -216,8 +226,7 @@ def engagement(t: RetailTables) -> DataFrame:
 
 
 def window_conversion(t: RetailTables) -> DataFrame:
-    orders = group(window_orders(t), "order_source").agg(
-        F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"))
+    orders = distinct_counts(window_orders(t), "order_source", {"orders": "order_id", "customers": "customer_id"})
     traffic = group(t.web_traffic(), "traffic_source").agg(sum0("sessions").alias("sessions"))
     joined = (traffic.join(orders.withColumnRenamed("order_source", "traffic_source"), "traffic_source", "left")
               .na.fill(0, subset=["orders", "customers"]))
@@ -225,10 +234,11 @@ def window_conversion(t: RetailTables) -> DataFrame:
 
 
 def source_value(t: RetailTables) -> DataFrame:
-    """Revenue, orders, customers and order value per source, from whole orders."""
-    value = group(_window_order_level(t), "order_source").agg(
-        F.sum("order_revenue").alias("revenue"), F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("customers"), F.sum("order_quantity").alias("total_quantity"))
+    """Revenue, orders, customers and order value per source, of lines with an order and a customer."""
+    lines = window_lines(t, ("order_id", "customer_id", "order_source", "quantity", "line_revenue"))
+    value = distinct_counts(lines.na.drop(subset=["order_id", "customer_id"]), "order_source",
+                            {"orders": "order_id", "customers": "customer_id"},
+                            {"revenue": "line_revenue", "total_quantity": "quantity"})
     return value.withColumn("aov", safe_ratio(F.col("revenue"), F.col("orders")))
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,6 +30,9 @@ class TableRegistry:
             self._tables[name] = held
         return held
 
+    def columns(self, name: str) -> list[str]:
+        return self._tables[name].columns if name in self._tables else []
+
     def clear(self) -> None:
         for df in self._tables.values():
             df.unpersist()
@@ -38,8 +42,32 @@ class TableRegistry:
 class RetailTables(ABC):
     """The retail star schema. ``master`` is the denormalised order line."""
 
+    #: Column of orders and lines by whose value they are stored in folders, if they are.
+    MONTH: str | None = None
+
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base
+        self.registry: TableRegistry | None = None
+
+    @contextmanager
+    def reuse(self) -> Iterator[RetailTables]:
+        """Within the block `lines` are computed once, however many queries ask for them; they go when it ends.
+
+        A query that asks for more columns than are held has them loaded anew, together with those held.
+        """
+        self.registry = TableRegistry()
+        try:
+            yield self
+        finally:
+            self.registry.clear()
+            self.registry = None
+
+    def lines(self, columns: Sequence[str]) -> DataFrame:
+        """``master_once``, held for reuse within `reuse`."""
+        if self.registry is None:
+            return self.master_once(columns)
+        both = list(dict.fromkeys([*self.registry.columns("lines"), *columns]))
+        return self.registry.get("lines", columns, lambda: self.master_once(both)).select(*columns)
 
     @abstractmethod
     def orders(self) -> DataFrame: ...
