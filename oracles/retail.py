@@ -228,3 +228,8 @@ ORDER BY combined_score DESC, net_revenue DESC, product_id LIMIT 15""",
     "c40_bucket": """SELECT aging_bucket, bucket_order, SUM(inventory_value) AS total_inventory_value, SUM(sku_month_records) AS sku_month_records, SUM(overstock_records) AS overstock_records,
   CAST(SUM(inventory_value) AS DOUBLE) / CAST(SUM(SUM(inventory_value)) OVER () AS DOUBLE) * 100 AS value_share_pct FROM aging_cells GROUP BY 1, 2""",
 }
+
+SQL["order_quantity"] = f"SELECT order_id, revenue, quantity FROM ({SQL['order_promo']}) q"
+# Stored copies give the rows of the tables they were made of.
+SQL |= {f"stored_{name}": SQL[name]
+        for name in ("order_promo", "c10_aov", "c29_repeat_rate", "src_window_orders", "source_value", "c25_conversion")}

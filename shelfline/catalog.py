@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfline.plans import inventory as inv, promo, questions as q, traffic as tr
 from shelfline.operators.joins import key_profile
-from shelfline.sources import RetailTables
+from shelfline.sources import RetailTables, kept_tables
 
 _SPARK = {"s": "string", "l": "bigint", "i": "int", "d": "date", "b": "boolean", "m": "decimal(28,4)"}
 _SQL = {"s": "VARCHAR", "l": "BIGINT", "i": "INTEGER", "d": "DATE", "b": "BOOLEAN", "m": "DECIMAL(28,4)"}
@@ -212,3 +212,17 @@ RETAIL: dict[str, Query] = {
     "c40_bucket": Query(inv.aging_buckets, "aging_bucket:s bucket_order:i total_inventory_value:m sku_month_records:l "
                                            "overstock_records:l value_share_pct"),
 }
+
+
+def _over_stored(name: str) -> Query:
+    """The same query over the stored orders and lines, which the first of them writes."""
+    query = RETAIL[name]
+    return Query(lambda t: query.build(kept_tables(t)), query.columns)
+
+
+RETAIL["order_quantity"] = Query(
+    lambda t: promo.with_quantity(promo.order_promo(t).drop("quantity"), t.lines(["order_item_id", "order_id", "quantity"]))
+    .select("order_id", "revenue", "quantity"), "order_id:l revenue:m quantity:l")
+#: Queries that read orders and lines by order or by traffic window, again from the stored layout.
+STORED = ("order_promo", "c10_aov", "c29_repeat_rate", "src_window_orders", "source_value", "c25_conversion")
+RETAIL |= {f"stored_{name}": _over_stored(name) for name in STORED}

@@ -65,7 +65,7 @@ def scanned_files(df):
         node = left.pop()
         if node.nodeName().startswith("AdaptiveSparkPlan"):
             left.append(node.executedPlan())
-        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+        if node.nodeName().endswith("QueryStage"):
             left.append(node.plan())
         if node.nodeName().startswith("Scan parquet"):
             found.append(node.metrics().apply("numFiles").value())
