@@ -14,7 +14,12 @@ A candidate that fails is tried shorter (an IBAN at its country's length, a phon
 at an earlier space), then by the later patterns at the same place, then the
 search goes on inside it.
 
-Null texts stay null. All columns but `text` pass through unread.
+A phone number is its country code and its national digits: spellings with other blanks, with or
+without a trunk `(0)`, or (in North America) without the country code stay linked.
+
+Null texts stay null, empty texts stay empty, and a text of any length is read whole. Rows are changed each
+for itself: repeated rows give equal rows, an empty table an empty one, and no ties can arise. All columns but
+`text` pass through unread.
 """
 
 from __future__ import annotations
@@ -64,6 +69,9 @@ IBAN_LENGTHS = {country: size for size, countries in {
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ TL GI OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+#: Country calling codes of one and two digits, as assigned; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                        "81 82 84 86 90 91 92 93 94 95 98".split())
 WORTH_A_LOOK = re.compile(r"[0-9@]").search
 
 
@@ -169,10 +177,28 @@ def _ip(text: str, permute: Feistel) -> str | None:
 
 
 def _phone(text: str, permute: Feistel) -> str | None:
-    if not 8 <= sum(c.isdigit() for c in text) <= 15:
+    """Country code and form stay; the national number is permuted, however it is spelled.
+
+    A number without a country code is written in North American form, so it has code 1.
+    """
+    spots = [i for i, c in enumerate(text) if c.isdigit()]
+    if not 8 <= len(spots) <= 15:
         return None
-    head = re.match(r"\+\d{1,3}[ .-]?\(0\)|\+\d{1,3}(?=[ .(-])|\+\d|1(?=[ .-])|", text)[0]
-    return head + by_class(text[len(head):], "phone" + head, permute, (DIGITS,))
+    code = "1"
+    if text[0] == "+":
+        trunk = text.find("(0)") + 1  # a prefix for calls inside the country, no part of the number
+        spots = [i for i in spots if not trunk or i != trunk]
+        digits = "".join(text[i] for i in spots)
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        spots = spots[len(code):]
+    elif len(spots) == 11:
+        spots = spots[1:]
+    radices = [10] * len(spots)
+    value, size = _to_number([int(text[i]) for i in spots], radices)
+    out = list(text)
+    for i, d in zip(spots, _from_number(permute(value, size, f"phone{code}"), radices)):
+        out[i] = str(d)
+    return "".join(out)
 
 
 def _date(text: str, permute: Feistel) -> str | None:
