@@ -2,21 +2,24 @@
 
 A vector is turned by three rounds of random signs and a fast Hadamard
 transform; its hash is the axis it then lies closest to, with the sign. A table
-joins two such hashes and the label into a bucket. Every vector is stored in
+joins three such hashes and the label into a bucket. Every vector is stored in
 its own bucket of each table and also looks into the buckets of the runner-up
 axes (multiprobe). Pairs that meet are verified by cosine in double precision.
 
 Vectors with equal label and components are one entry with a count, so copies
-never meet pair by pair. A bucket with many entries is cut into blocks, and
-pairs of blocks are compared in groups of their own. A pair that meets in
-several tables counts in the first of them only, which both entries' hashes
-tell, so no list of pairs is kept to find repeats: a group returns link counts
-and a spanning forest of what it linked.
+never meet pair by pair. Bucket keys travel without vectors; axes and vector
+join only the keys of buckets where someone is met. A bucket with many entries
+is cut into blocks, and pairs of blocks are compared apart. A pair that meets in
+several tables counts in the first of them only, which both entries' axes
+tell, so no list of pairs is kept to find repeats: a task returns link counts
+and spanning forests of what it linked.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, or
-whose label is null, link with nothing. Vectors of different lengths under one
-label don't compare. Repeated rows count as vectors of their own; a null vec_id
-takes part but is never a component's id unless all are null.
+whose label is null, link with nothing. Labels may be of any type that can be
+grouped. Vectors of different lengths under one label don't compare. Repeated
+rows count as vectors of their own; a null vec_id takes part but is never a
+component's id unless all are null. An empty table gives an empty result, and
+other columns of the input are left aside.
 """
 
 from __future__ import annotations
@@ -27,14 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfline.llm.common import components
 from shelfline.session import stored
 
-#: At 64 dimensions a pair at the threshold itself meets in one of these tables with probability 0.9999.
-THRESHOLD, TABLES, HASHES, PROBES, SEED = 0.98, 7, 2, 2, 11
-#: Entries of a bucket that are compared in one block.
-BLOCK = 1024
+#: A random pair at the threshold itself misses all tables with a probability of some 6e-9 at 64 dimensions, 4e-7 at 384.
+THRESHOLD, TABLES, HASHES, PROBES, SEED = 0.98, 12, 3, 3, 11
+#: Entries of a bucket that are compared in one block, and rows of a block whose cosines are held at a time.
+BLOCK, STRIP = 4096, 64
+#: Rows a task gathers before it compares them, and components of the pairs that are verified at a time.
+GATHERED, VERIFIED = 8192, 1 << 22
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,7 +56,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def hashes(unit: np.ndarray, table: int) -> np.ndarray:
     """For each row and each hash of a table, the PROBES closest axes (signed axis as 2 * axis + sign)."""
-    width = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    width = padded_width(unit.shape[1])
     padded = np.pad(unit, ((0, 0), (0, width - unit.shape[1])))
     found = []
     for k in range(HASHES):
@@ -63,109 +69,214 @@ def hashes(unit: np.ndarray, table: int) -> np.ndarray:
     return np.stack(found, 1)
 
 
-def probes(found: np.ndarray) -> np.ndarray:
-    """Bucket keys of a table: the own one first, then one hash replaced by a runner-up."""
-    big = np.int64(1 << 24)
-    keys = [found[:, 0, 0] * big + found[:, 1, 0]]
-    for p in range(1, found.shape[2]):
-        keys += [found[:, 0, p] * big + found[:, 1, 0], found[:, 0, 0] * big + found[:, 1, p]]
-    return np.stack(keys, 1).astype(np.int64)
+def padded_width(n: int) -> int:
+    """A power of two, at least 16: the few sign patterns of narrower vectors don't make independent rotations."""
+    return 1 << max(4, (n - 1).bit_length())
+
+
+def probes(axes: np.ndarray, width: int) -> np.ndarray:
+    """Bucket keys (row, table, probe) of axes (row, table, hash, probe): the own key first, then one hash replaced by a runner-up."""
+    base = np.int64(2 * padded_width(width))
+    places = base ** np.arange(HASHES, dtype=np.int64)
+    axes = axes.astype(np.int64)
+    own = (axes[..., 0] * places).sum(-1)
+    keys = [own]
+    for k in range(HASHES):
+        keys += [own + (axes[..., k, p] - axes[..., k, 0]) * places[k] for p in range(1, PROBES)]
+    return np.stack(keys, -1)
+
+
+def _axes_type(width: int) -> type:
+    return np.uint16 if padded_width(width) <= 1 << 15 else np.int32
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Unit vectors in double precision of lists that all have `width` components."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    unit = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    # The largest component is taken out first, so squares neither overflow nor vanish.
+    unit = unit / np.abs(unit).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _axes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _axes_type(width)).reshape(-1, TABLES, HASHES, PROBES)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per entry and table: own key, all keys of all tables, vector."""
+    """The batch with each entry's number of components and its axes in all tables."""
     for batch in batches:
-        columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
-        vectors = columns["v"].to_pylist()
-        # Components travel in the precision they came in; arithmetic is in double.
-        stored_as = np.float32 if pa.types.is_float32(columns["v"].type.value_type) else np.float64
-        rows = {k: [] for k in ("entry", "copies", "label", "width", "tab", "key", "own", "keys", "v")}
-        widths = np.array([len(v) for v in vectors])
-        for width in np.unique(widths):
+        v = batch.column(batch.schema.get_field_index("v"))
+        widths = v.value_lengths().to_numpy(zero_copy_only=False)
+        packed = np.empty(len(v), object)
+        for width in np.unique(widths).tolist():
             some = np.flatnonzero(widths == width)
-            raw = np.array([vectors[i] for i in some], stored_as)
-            unit = raw.astype(np.float64)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            keys = np.stack([probes(hashes(unit, t)) for t in range(TABLES)], 1)
-            entry, copies, label = (columns[c].take(pa.array(some)).to_pylist() for c in ("entry", "copies", "label"))
-            for t in range(TABLES):
-                for row in range(len(some)):
-                    for p, key in enumerate(keys[row, t]):
-                        for name, value in zip(rows, (entry[row], copies[row], label[row], int(width), t, int(key), p == 0,
-                                                      keys[row].tobytes(), raw[row].tobytes())):
-                            rows[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in HASHED], schema=HASHED)
-
-
-HASHED_DDL = "entry long, copies long, label int, width int, tab int, key long, own boolean, keys binary, v binary"
-HASHED = pa.schema([("entry", pa.int64()), ("copies", pa.int64()), ("label", pa.int32()), ("width", pa.int32()), ("tab", pa.int32()),
-                    ("key", pa.int64()), ("own", pa.bool_()), ("keys", pa.binary()), ("v", pa.binary())])
+            unit = _vectors(v.take(pa.array(some)), width)
+            axes = np.stack([hashes(unit, t) for t in range(TABLES)], 1).astype(_axes_type(width))
+            for i, row in zip(some.tolist(), axes):
+                packed[i] = row.tobytes()
+        added = [pa.array(widths, pa.int32()), pa.array(packed.tolist(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "width", "axes"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each entry and bucket key: label, entry, width, tab, key, own."""
+    for batch in batches:
+        label, entry, widths, axes = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "entry", "width", "axes"))
+        widths = widths.to_numpy()
+        for width in np.unique(widths).tolist():
+            some = np.flatnonzero(widths == width)
+            keys = probes(_axes(axes.take(pa.array(some)), width), width)
+            probe = np.tile(np.arange(keys.shape[2]), len(some) * TABLES)
+            rows = pa.array(np.repeat(some, keys[0].size))
+            yield pa.RecordBatch.from_arrays(
+                [label.take(rows), entry.take(rows), pa.array(np.full(len(rows), width, np.int32)),
+                 pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), keys.shape[2]), len(some))),
+                 pa.array(keys.ravel()), pa.array(probe == 0)],
+                names=["label", "entry", "width", "tab", "key", "own"])
+
+
 LINKS = pa.schema([("entry", pa.int64()), ("to", pa.int64()), ("links", pa.int64())])
+BUCKET = ("label", "width", "tab", "key")
 
 
-def _met(own: np.ndarray, probed: np.ndarray, a: np.ndarray, b: np.ndarray, before: int) -> np.ndarray:
-    """Whether pairs (a, b) meet in a table before `before`: the own key of one is among the keys of the other."""
+def _met(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether pairs (a, b) meet in a table before their `table`: the own key of one is among the keys of the other."""
     met = np.zeros(len(a), bool)
-    for t in range(before):
-        met |= (own[a, t][:, None] == probed[b, t]).any(1) | (own[b, t][:, None] == probed[a, t]).any(1)
+    for t in range(int(table.max(initial=0))):
+        ask = np.flatnonzero(~met & (table > t))
+        x, y = a[ask], b[ask]
+        met[ask] = (keys[x, t, 0][:, None] == keys[y, t]).any(1) | (keys[y, t, 0][:, None] == keys[x, t]).any(1)
     return met
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Places of the links that join parts which no earlier link joined."""
-    parent, kept = list(range(n)), []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[x] = y
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def _compare(group: pa.Table) -> pa.Table:
-    """Links of one bucket, or of two blocks of it, that no earlier table has."""
-    entry = group.column("entry").to_numpy()
-    copies = group.column("copies").to_numpy()
-    own_here = group.column("own").to_numpy(zero_copy_only=False)
-    side = group.column("block").to_numpy()
-    table, width = group.column("tab")[0].as_py(), group.column("width")[0].as_py()
-    first, second = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+class _Forest:
+    """Union-find over the rows at hand."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Places of the links that join parts which no earlier link joined."""
+        kept = []
+        for at in range(0, len(a), 4096):
+            flat = self.parent[self.parent]
+            while not np.array_equal(flat, self.parent):
+                self.parent, flat = flat, flat[flat]
+            new = at + np.flatnonzero(flat[a[at:at + 4096]] != flat[b[at:at + 4096]])
+            parent = self.parent
+            for k in new.tolist():
+                x, y = a[k], b[k]
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    kept.append(k)
+        return kept
+
+
+def _near(unit: np.ndarray, own: np.ndarray, block: np.ndarray, low: int, high: int, start: int, end: int) -> Iterator[tuple]:
+    """Pairs of rows of one bucket, or of two blocks of it, that are near and of which one at least is at home there.
+
+    Rows are sorted by block, then those at home first.
+    """
+    if low == high:
+        first, upto, right = start, start + int(own[start:end].sum()), start
+    else:
+        right = start + int(np.searchsorted(block[start:end], high)) if low < high else start
+        first, upto = start, right
+    for at in range(first, upto, STRIP):
+        x, y = np.nonzero(unit[at:min(upto, at + STRIP)] @ unit[right:end].T >= THRESHOLD - 1e-9)
+        a, b = x + at, y + right
+        fine = a < b if low == high else own[a] | own[b]
+        if fine.any():
+            yield a[fine], b[fine]
+
+
+def _links(rows: pa.Table, width: int) -> pa.RecordBatch:
+    """Links of whole buckets or pairs of blocks, all of one width, that no earlier table has."""
+    entry, copies, table, key, own, block, low, high = (
+        rows.column(c).to_numpy() for c in ("entry", "copies", "tab", "key", "own", "block", "low", "high"))
+    unit, keys = _vectors(rows.column("v"), width), probes(_axes(rows.column("axes"), width), width)
     n = len(entry)
-    packed = b"".join(group.column("v").to_pylist())
-    unit = np.frombuffer(packed, np.float32 if len(packed) == 4 * n * width else np.float64).reshape(n, width).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64).reshape(n, TABLES, -1)
-    left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    cosine = unit[left] @ unit[right].T
-    x, y = np.nonzero(cosine >= THRESHOLD - 1e-9)
-    a, b = left[x], right[y]
-    fine = (entry[a] != entry[b]) & (own_here[a] | own_here[b])
-    if first == second:
-        fine &= a < b
-    a, b = a[fine], b[fine]
-    fine = np.einsum("ij,ij->i", unit[a], unit[b]) >= THRESHOLD
-    a, b = a[fine], b[fine]
-    fine = ~_met(keys[:, :, 0], keys, a, b, table)
-    a, b = a[fine], b[fine]
-    # A pair may meet twice in one table, once in each one's own bucket: it counts where the smaller entry is at home.
-    home = np.where(entry[a] < entry[b], own_here[a], own_here[b])
-    low, high = np.where(entry[a] < entry[b], a, b), np.where(entry[a] < entry[b], b, a)
-    twice = (keys[high, table, 0][:, None] == keys[low, table]).any(1) & (keys[low, table, 0][:, None] == keys[high, table]).any(1) \
-        & (keys[high, table, 0] != keys[low, table, 0])
-    fine = ~twice | home
-    a, b = a[fine], b[fine]
-    links = np.zeros(n, np.int64)
-    np.add.at(links, a, copies[b])
-    np.add.at(links, b, copies[a])
-    some, tree = np.flatnonzero(links), _forest(a, b, n)
-    return pa.table({
-        "entry": np.concatenate([entry[some], entry[a[tree]]]), "to": np.concatenate([entry[some], entry[b[tree]]]),
-        "links": np.concatenate([links[some], np.zeros(len(tree), np.int64)])}, schema=LINKS)
+    starts = _starts(rows)
+    links, forest, tree = np.zeros(n, np.int64), _Forest(n), []
+
+    def verify(a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), max(1, VERIFIED // width)):
+            x, y = (side[at:at + max(1, VERIFIED // width)] for side in (a, b))
+            fine = np.einsum("ij,ij->i", unit[x], unit[y]) >= THRESHOLD
+            x, y = x[fine], y[fine]
+            fine = ~_met(keys, x, y, table[x])
+            x, y = x[fine], y[fine]
+            # A pair may meet twice in one table, once in each one's own bucket: it counts where the smaller entry is at home.
+            less, more = np.where(entry[x] < entry[y], x, y), np.where(entry[x] < entry[y], y, x)
+            t = table[x]
+            twice = (keys[more, t, 0][:, None] == keys[less, t]).any(1) & (keys[less, t, 0][:, None] == keys[more, t]).any(1) \
+                & (keys[more, t, 0] != keys[less, t, 0])
+            fine = ~twice | own[less]
+            x, y = x[fine], y[fine]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            tree.extend((entry[x[k]], entry[y[k]]) for k in forest.add(x, y))
+
+    waiting, held = [], 0
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+        if end - start > 1:
+            for pair in _near(unit, own, block, low[start], high[start], start, end):
+                waiting.append(pair)
+                held += len(pair[0])
+                if held * width >= VERIFIED:
+                    verify(*map(np.concatenate, zip(*waiting)))
+                    waiting, held = [], 0
+    if waiting:
+        verify(*map(np.concatenate, zip(*waiting)))
+    some = np.flatnonzero(links)
+    tree = np.array(tree, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([entry[some], tree[:, 0]])), pa.array(np.concatenate([entry[some], tree[:, 1]])),
+        pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]))], schema=LINKS)
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a new bucket or pair of blocks begins."""
+    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    other = np.zeros(max(0, len(label) - 1), bool)
+    for column in (label, *(rows.column(c).to_numpy() for c in ("width", "tab", "key", "low", "high"))):
+        other |= column[1:] != column[:-1]
+    return np.concatenate([np.zeros(min(1, len(label)), np.int64), 1 + np.flatnonzero(other)])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sorted rows; the last bucket at hand waits until the next one begins."""
+
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        widths = rows.column("width").to_numpy()
+        for width in np.unique(widths).tolist():
+            yield _links(rows.filter(pa.array(widths == width)), width)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHERED:
+            rows = pa.Table.from_batches(held)
+            last = int(_starts(rows)[-1])
+            if last:
+                yield from whole(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+            n = min(n - last, GATHERED - 1)
+    if held and sum(b.num_rows for b in held):
+        yield from whole(pa.Table.from_batches(held))
+
+
+def _schema(df: DataFrame, **added: str) -> StructType:
+    schema = StructType(list(df.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return schema
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -177,18 +288,20 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", "label", usable.alias("usable"), F.when(usable, F.col("embedding")).alias("v"))
     # An entry's number is its place; numbers are made once and stored.
     entries = rows.where("usable").groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"))
-    entries = stored(entries.select("label", "v", "copies", "first_id", F.monotonically_increasing_id().alias("entry")), "vector-entries")
-    hashed = entries.select("entry", "copies", F.col("label").cast("int").alias("label"), "v") \
-        .mapInArrow(_hashed, HASHED_DDL)
-    hashed = stored(hashed, "vector-hashes")
-    bucket = ("label", "width", "tab", "key")
-    sizes = hashed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = hashed.join(sizes, list(bucket)).withColumn("blocks", blocks) \
+    entries = entries.select("label", "v", "copies", "first_id", F.monotonically_increasing_id().alias("entry"))
+    entries = stored(entries.mapInArrow(_hashed, _schema(entries, width="integer", axes="binary")), "vector-entries")
+    keyed = entries.select("label", "entry", "width", "axes").mapInArrow(
+        _keyed, _schema(entries.select("label"), entry="long", width="integer", tab="integer", key="long", own="boolean"))
+    sizes = keyed.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own") \
+        .select(*BUCKET, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, list(BUCKET)) \
         .withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("n", "any_own", "blocks")
-    found = dealt.groupBy(*bucket, "low", "high").applyInArrow(_compare, "entry long, to long, links long")
+        .select(*BUCKET, "entry", "own", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    carried = dealt.join(entries.select("entry", "copies", "axes", "v"), "entry")
+    found = carried.repartition(*BUCKET, "low", "high") \
+        .sortWithinPartitions(*BUCKET, "low", "high", "block", F.desc("own")) \
+        .mapInArrow(_compared, "entry long, to long, links long")
     found = stored(found, "vector-links")
     linked = found.where("links > 0").groupBy("entry").agg(F.sum("links").alias("others"))
     roots = components(found.where("links = 0").select(F.col("entry").alias("a"), F.col("to").alias("b")))

@@ -214,6 +214,42 @@ def test_vector_blocks_lose_no_link(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()} == want
 
 
+@pytest.mark.parametrize("width", [3, 16, 64, 384])
+def test_vector_pairs_at_the_threshold_are_found(spark, width):
+    """Pairs just above the threshold, under text labels, beside an extra column."""
+    rng = np.random.default_rng(width)
+    a, g = rng.normal(size=(2, 250, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g -= (g * a).sum(1, keepdims=True) * a
+    v = np.vstack([a, 0.9801 * a + np.sqrt(1 - 0.9801 ** 2) * g / np.linalg.norm(g, axis=1, keepdims=True)])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = [f"l{i % 3}" for i in range(250)] * 2
+    near = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label))
+    df = spark.createDataFrame([(i, x.tolist(), k, "x") for i, (x, k) in enumerate(zip(v, label))],
+                               "vec_id long, embedding array<double>, label string, entry string")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    assert near.sum() - 500 >= 500 and got == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
+def test_vector_blocks_equal_brute_force_on_clusters(spark, monkeypatch):
+    """Clusters over several blocks, copies, two widths: links and components of all rows."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    rows = []
+    for width in (24, 48):
+        for centre in rng.normal(size=(3, width)):
+            rows += [(centre + 0.09 * rng.normal(size=width)).astype(np.float32).tolist() for _ in range(90)]
+    rows += rows[:20]
+    unit = [np.array(r, np.float64) / np.linalg.norm(np.array(r, np.float64)) for r in rows]
+    near = [[j for j, y in enumerate(unit) if j != i and len(x) == len(y) and x @ y >= 0.98] for i, x in enumerate(unit)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in near[i])]) for i in range(len(rows))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(
+        spark.createDataFrame(list(zip(range(len(rows)), rows, [1] * len(rows))), "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {i: (len(near[i]), root[i]) for i in range(len(rows))}
+
+
 def test_shortages_go_to_siblings_first(spark):
     policy = mixing.MixPolicy({"a": "x", "b": "x", "c": "y"}, {"x": 1, "y": 1}, {}, budget_percent=50, epochs=1)
     leaves = spark.createDataFrame([("x", "en", "a", 10, 5), ("x", "en", "b", 90, 9), ("y", "en", "c", 100, 4)],
