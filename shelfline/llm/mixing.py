@@ -15,8 +15,10 @@ has about the square root of n cells, so neither the cells nor the last cell
 grow with a hot leaf.
 
 Null domain, language or source is a value of its own. Null texts have no
-tokens and ride along in the prefix. Equal places in the order sort by doc_id,
+tokens and ride along in the prefix. A row without doc_id has its place by its
+text, so such rows spread over the cells. Equal places in the order sort by doc_id,
 then text; repeated rows count and are taken one by one. Weight 0 takes nothing.
+A document is counted and taken whole, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,15 +124,16 @@ def leaf_plan(leaves: DataFrame, policy: MixPolicy) -> DataFrame:
 
 
 def with_leaf(docs: DataFrame, policy: MixPolicy) -> DataFrame:
-    """row (the columns of `docs`), doc_id, domain, lang, source, text."""
+    """row (the columns of `docs`), doc_id, domain, lang, source, text, named (what gives a row its place: doc_id, without one its text)."""
     domain = _looked_up(F.col("source"), policy.domain_of, F.lit(policy.other_domain))
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", domain.alias("domain"), "lang", "source", "text")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", domain.alias("domain"), "lang", "source", "text", named.alias("named"))
 
 
 def _placed(rows: DataFrame, plan: DataFrame, policy: MixPolicy) -> DataFrame:
     """Rows with their leaf's plan, their place in the last epoch's order, and its cell."""
     up = plan.select(*[F.col(k).alias(f"p_{k}") for k in LEAF], *[c for c in plan.columns if c not in LEAF])
-    said = F.concat_ws(":", F.lit(policy.seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    said = F.concat_ws(":", F.lit(policy.seed), (F.col("whole") + 1).cast("string"), F.col("named"))
     joined = rows.join(up, _null_safe(rows, up, LEAF)).drop(*[f"p_{k}" for k in LEAF])
     return joined.withColumn("place", F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("long")) \
         .withColumn("cell", F.expr(f"place * cells div {SPACE}"))
@@ -139,7 +142,7 @@ def _placed(rows: DataFrame, plan: DataFrame, policy: MixPolicy) -> DataFrame:
 def mix(docs: DataFrame, policy: MixPolicy) -> DataFrame:
     """row, domain, n_tokens, epoch: one row for each document and epoch in which it is taken."""
     rows = with_leaf(docs, policy)
-    counted = stored(rows.select("doc_id", *LEAF, word_count(F.col("text")).alias("n_tokens")), "mix-counts")
+    counted = stored(rows.select("named", *LEAF, word_count(F.col("text")).alias("n_tokens")), "mix-counts")
     leaves = counted.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = stored(leaf_plan(leaves, policy), "mix-plan")
     cells = _placed(counted, plan, policy).groupBy(*LEAF, "cell", "last").agg(F.sum("n_tokens").alias("in_cell"))
@@ -208,7 +211,7 @@ l2 AS (SELECT l1.*, g.share AS budget FROM l1 JOIN g ON l1.domain IS NOT DISTINC
 {level("l", "l2", "domain, lang", "source")},
 p AS (SELECT d.*, l.share // greatest(l.tokens, 1) AS whole, l.share % greatest(l.tokens, 1) AS last_tokens
     FROM d JOIN l ON d.domain IS NOT DISTINCT FROM l.domain AND d.lang IS NOT DISTINCT FROM l.lang AND d.source IS NOT DISTINCT FROM l.source),
-q AS (SELECT *, ('0x' || substr(md5('{policy.seed}:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place FROM p),
+q AS (SELECT *, ('0x' || substr(md5('{policy.seed}:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 8))::BIGINT AS place FROM p),
 r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
 SELECT doc_id, domain, lang, source, n_tokens, unnest(generate_series(1, (whole + CASE WHEN upto <= last_tokens THEN 1 ELSE 0 END)::BIGINT))::INTEGER AS epoch

@@ -1,5 +1,8 @@
 """Every operator over nulls, empty and long texts, repeated rows, empty tables and clashing extra columns."""
 
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,22 @@ def test_empty_tables(docs_of, spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_mixing_of_rows_without_ids_equals_sql(spark):
+    """Null ids, languages, sources and texts, copies: the rows taken are those of the SQL, and rows without id get cells of their own."""
+    rows = [(None if i % 3 else i, None if i % 50 == 7 else f"t{i // 2} " * (1 + i % 9), [None, "en", "de"][i % 7 % 3],
+             None if i % 11 == 3 else f"src{i % 4 * 6}") for i in range(900)]
+    rows += [(None, None, "en", "src0"), (None, "", "en", "src0"), *rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("place", F.lit("extra"))
+    documents = docs.toPandas()  # noqa: F841 (read by the SQL)
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    columns = ["doc_id", "domain", "lang", "source", "n_tokens", "epoch"]
+    got = mixing.mix(docs, MIX).select("row.doc_id", "domain", "row.lang", "row.source", "n_tokens", "epoch")
+    want = duckdb.sql(f"SELECT {', '.join(columns)} FROM ({mixing.mix_sql(MIX)})").fetchall()
+    assert want and Counter(map(tuple, got.collect())) == Counter(want)
+    named = mixing.with_leaf(docs.where("doc_id IS NULL"), MIX)
+    assert named.select("named").distinct().count() == docs.where("doc_id IS NULL").select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 201)}
