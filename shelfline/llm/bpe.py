@@ -13,7 +13,9 @@ pieces it has met, up to a bound, and forgets them together when it is full;
 that changes the time only.
 
 Null text is empty: no tokens. Special strings in a text give their own id, as
-the library does by default.
+the library does by default. Repeated rows are encoded each for itself. A very
+long text is encoded whole, also if it is a single piece. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ The output carries the loss mask as `pieces`, whose texts make up `formatted`;
 A null text is empty, a null role is a role with an empty name, a null turn
 sorts first. Equal turn numbers sort by role, then text; repeated rows stay.
 Rows with a null conv_id form one conversation. Other columns are not read.
-A conversation is one row of the result, so it is gathered as one value.
+A conversation is one row of the result, so it is gathered as one value, very
+long texts included. An empty table gives an empty result.
 """
 
 from __future__ import annotations

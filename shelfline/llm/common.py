@@ -13,7 +13,8 @@ from shelfline.session import remove_path, tuned, work_path
 #: Words are maximal runs of other characters than the space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\f\r"
 
-#: Documents that one Arrow batch hands to Python; texts may be long, so batches are short.
+#: Documents that one Arrow batch hands to Python. Texts may be long, so batches are short; Spark also ends one at
+#: spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), and a single row may be larger.
 BATCH_DOCUMENTS = 1000
 
 

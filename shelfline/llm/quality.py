@@ -7,7 +7,8 @@ policy costs alone. Neither looks at a text again.
 
 Null and empty texts have no words, so they fail `too_short`. Ratios with an
 empty denominator don't fail. Repeated rows are judged each for itself; other
-columns are not read.
+columns are not read. A very long text is measured whole. An empty table gives
+an empty ledger.
 """
 
 from __future__ import annotations

@@ -22,6 +22,8 @@ group, however many variants they share, and the components stay exact.
 Copies meet as one fingerprint before any variant is made. Null and empty texts
 have fingerprint zero. Rows with a null doc_id take part; a component's id is
 the smallest non-null doc_id in it. Repeated rows give repeated result rows.
+The bits of a very long text are counted STEP_HASHES shingles at a time. An
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ for each shard that reads it, so the corpus is first cut down, exactly:
 Words are runs of characters other than the six blanks, unchanged. Null texts
 have no words. A null doc_id is not smaller or larger than any: nothing of that
 row goes, and it holds nothing for others. Rows that repeat a doc_id are
-documents of their own, judged alike. Windows are judged on the input.
+documents of their own, judged alike. Windows are judged on the input. A very
+long text is judged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

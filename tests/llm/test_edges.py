@@ -1,5 +1,6 @@
 """Every operator over nulls, empty and long texts, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -73,6 +74,35 @@ def test_empty_tables(docs_of, spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_chat_of_odd_turns_equals_brute_force(spark):
+    """Null ids, turns, roles and texts, equal turn numbers, repeated rows, very long texts, an extra column named like an inner one."""
+    rows = [(1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 2, "user", "z"), (1, None, "user", "first"), (1, 1, None, "</s>[INST]"),
+            (2, 1, "assistant", "same"), (2, 1, "assistant", "same"), (2, 0, "user", None),
+            (None, 1, "user", "q"), (None, 2, "assistant", "\\[/INST] r"), (None, 2, "assistant", None),
+            (3, 0, "user", "[INST]<" * 40_000), (3, 1, "assistant", "</s> long " * 40_000), (4, 0, None, None)]
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, pieces string")
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv))
+        said = "".join(f"{role}\n{text}\n" for *_, role, text in turns)
+        loss = "".join(text for *_, role, text in turns if role == "assistant")
+        want[conv] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = chat.digest(chat.format_conversations(frame)).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want and len(got) == len(want)
+
+
+def test_language_and_toxicity_of_repeated_rows(spark, docs_of):
+    """Copies get one answer each, and equal ones, whatever their id; other columns change nothing."""
+    texts = [f"the cat sat on mat number {i} and the dog ran off" for i in range(30)] + [f"le chat est sur la table {i} et le chien court" for i in range(30)]
+    docs = docs_of(list(enumerate(texts * 2))).withColumn("lang", F.when(F.col("text").startswith("the"), "en").otherwise("fr"))
+    labels = docs.select("doc_id", F.col("text").contains("table").cast("int").alias("toxic"))
+    lang = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.train(docs)).collect()}
+    toxic = {r.doc_id: (r.predicted, r.score) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert len(lang) == len(toxic) == 120
+    assert all(lang[i] == lang[i + 60] and toxic[i] == toxic[i + 60] for i in range(60))
+    assert all(lang[i][0] == ("en" if i < 30 else "fr") for i in range(60))
+
+
 def test_mixing_of_rows_without_ids_equals_sql(spark):
     """Null ids, languages, sources and texts, copies: the rows taken are those of the SQL, and rows without id get cells of their own."""
     rows = [(None if i % 3 else i, None if i % 50 == 7 else f"t{i // 2} " * (1 + i % 9), [None, "en", "de"][i % 7 % 3],
