@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.config import LagAgg, SeriesConfig, TreeParams
+from shelfline.forecast.boosting import BoostedTrees
 from shelfline.forecast.calendar import DateFeature
 from shelfline.forecast.features import feature_names, known_features, known_names, lag_names, reach
 from shelfline.forecast.store import ModelStore, series_fingerprint
@@ -28,7 +29,7 @@ ROUNDS_PER_CHECKPOINT = 25
 
 def build_estimators(params: Mapping[str, TreeParams]) -> dict[str, Estimator]:
     """Spark's boosted trees for the given settings (leaf counts and penalties have no counterpart)."""
-    return {name: GBTRegressor(
+    return {name: BoostedTrees(
         featuresCol="features", labelCol="y", maxIter=p.max_iter, stepSize=p.step_size, maxDepth=p.max_depth,
         minInstancesPerNode=p.min_instances, subsamplingRate=p.subsampling, checkpointInterval=ROUNDS_PER_CHECKPOINT,
         featureSubsetStrategy=str(p.feature_share), seed=p.seed, maxMemoryInMB=512)
@@ -119,10 +120,11 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
                        step: int | None = None, features: Mapping[str, DateFeature] | None = None) -> DataFrame:
     """Predict every scenario and day of ``future``; each model feeds on its own predictions.
 
-    Block by block of ``step`` days, for all series and scenarios together: the state
-    is one row per (scenario, series) with the last year of values and what each
-    model has predicted so far. A block joins its days to the state, builds the lags from the
-    arrays, lets every model transform the rows, and writes the longer state to the
+    The members know nothing of each other, so they go side by side; each of them goes
+    block by block of ``step`` days, for all series and scenarios together: its state
+    is one row per (scenario, series) with the last year of values and what it
+    has predicted so far. A block joins its days to the state, builds the lags from the
+    array, lets the model transform the rows, and writes the longer state to the
     shared folder; the state before it is then removed. So work spreads over series and
     scenarios, a row never exceeds a year plus the horizon, lineage is one block long, and a lost executor costs one block at most.
     ``future`` carries the features that need no past value.
@@ -130,13 +132,12 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
     step = step or step_size(cfg)
     if step > step_size(cfg):
         raise ValueError(f"at most {step_size(cfg)} days can be predicted at once")
-    spark, names, line = future.sparkSession, ensemble.names, ["scenario", "unique_id"]
-    past = {n: f"_past{k}" for k, n in enumerate(names)}
+    spark, line = future.sparkSession, ["scenario", "unique_id"]
     recent = history.select("unique_id", "ds", "y").where(F.col("y").isNotNull())
     newest = recent.groupBy("unique_id").agg(F.max("ds").alias("_last"))
     recent = (recent.join(newest, "unique_id").where(F.col("ds") > F.date_sub("_last", memory(cfg)))
               .groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("_held"))
-              .select("unique_id", F.col("_held.y").alias("_values")))
+              .select("unique_id", F.col("_held.y").alias("_past")))
 
     # One folder a block; the known features travel as one array, so a block's plan is short and the same for all blocks.
     place = F.row_number().over(Window.partitionBy(*line).orderBy("ds")) - 1
@@ -148,29 +149,38 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
     ahead = spark.read.parquet(ahead_path)
     day_schema = ahead.drop("_block").schema
 
-    state_path = work_path(spark, "state")
-    state = (ahead.select(*line).distinct().join(recent, "unique_id")
-             .select(*line, F.size("_values").alias("_known"), *[F.col("_values").alias(past[n]) for n in names]))
-    state.write.parquet(state_path)
+    start_path = work_path(spark, "state")
+    start = (ahead.select(*line).distinct().join(recent, "unique_id").select(*line, F.size("_past").alias("_known"), "_past"))
+    start.write.parquet(start_path)
     blocks = ahead.agg(F.max("_block")).first()[0]
-    for block in range(0 if blocks is None else blocks + 1):
-        days = spark.read.schema(day_schema).parquet(f"{ahead_path}/_block={block}")
-        rows = days.join(spark.read.schema(state.schema).parquet(state_path), line)
-        rows = rows.select(*line, "_at", "_known", *past.values(), *[
-            array_to_vector(F.concat(F.array(*map(_number, _lag_features(past[n], cfg))), "_fixed")).alias(f"_features{k}")
-            for k, n in enumerate(names)])
-        for k, n in enumerate(names):
-            model = ensemble.models[n]
-            rows = model.transform(rows, {model.getParam("featuresCol"): f"_features{k}", model.getParam("predictionCol"): n})
-        made = rows.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("_at", *names))).alias("_made"), F.first("_known").alias("_known"),
-                                       *[F.first(past[n]).alias(past[n]) for n in names])
-        made = made.select(*line, "_known", *[F.concat(past[n], F.col("_made").getField(n)).alias(past[n]) for n in names])
-        next_path = work_path(spark, "state")
-        made.write.parquet(next_path)
-        remove_path(spark, state_path)
-        state_path = next_path
-    done = ahead.select(*line, "ds", "_place").join(spark.read.parquet(state_path), line)
-    return done.select(*line, "ds", *[F.get(past[n], F.col("_known") + F.col("_place")).alias(n) for n in names])
+    # Every column is a call to the JVM, so what all blocks share is built once.
+    vector = array_to_vector(F.concat(F.array(*map(_number, _lag_features("_past", cfg))), "_fixed")).alias("_features")
+    found = [F.sort_array(F.collect_list(F.struct("_at", "_made"))).alias("_made"), F.first("_known").alias("_known"),
+             F.first("_past").alias("_past")]
+    longer = F.concat("_past", "_made._made").alias("_past")
+
+    def predicted(name: str) -> DataFrame:
+        """The member's last state: what it was given and all that it predicts."""
+        model, state_path = ensemble.models[name], start_path
+        for block in range(0 if blocks is None else blocks + 1):
+            days = spark.read.schema(day_schema).parquet(f"{ahead_path}/_block={block}")
+            rows = days.join(spark.read.schema(start.schema).parquet(state_path), line)
+            rows = rows.select(*line, "_at", "_known", "_past", vector)
+            rows = model.transform(rows, {model.getParam("featuresCol"): "_features", model.getParam("predictionCol"): "_made"})
+            next_path = work_path(spark, "state")
+            rows.groupBy(*line).agg(*found).select(*line, "_known", longer).write.parquet(next_path)
+            if block:
+                remove_path(spark, state_path)
+            state_path = next_path
+        return spark.read.schema(start.schema).parquet(state_path)
+
+    done = ahead.select(*line, "ds", "_place")
+    with ThreadPoolExecutor(max_workers=max(1, len(ensemble.names))) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(predicted), name) for name in ensemble.names]
+        for name, job in zip(ensemble.names, jobs):
+            value = F.get("_past", F.col("_known") + F.col("_place")).alias(name)
+            done = done.join(job.result(), line).select(*done.columns, value)
+    return done.drop("_place")
 
 
 def future_features(future: DataFrame, profile: DataFrame, cfg: SeriesConfig,

@@ -8,9 +8,11 @@ and read back by all steps of the session.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.config import ForecastConfig
@@ -125,8 +127,11 @@ class Workspace:
         """Every scenario of the days ahead, blended, and the mix of the first two."""
         future = S.future_frame(self.series, self.cfg, S.SCENARIOS)
         ahead = future_features(future, self.full_profile, self.cfg, self.features)
-        raw = recursive_forecast(self.full_ensemble, self.series, ahead, self.cfg, features=self.features)
-        each = stored(blend.apply_blend(raw, self.ensemble_blend, self.full_ensemble.names, self.blend_cfg), "scenarios")
+        self.parts  # what both sides read is there before they start
+        with ThreadPoolExecutor(max_workers=1) as pool:  # the blend is learned while the days ahead are predicted
+            found = pool.submit(inheritable_thread_target(self.series.sparkSession)(lambda: self.ensemble_blend))
+            raw = recursive_forecast(self.full_ensemble, self.series, ahead, self.cfg, features=self.features)
+            each = stored(blend.apply_blend(raw, found.result(), self.full_ensemble.names, self.blend_cfg), "scenarios")
         columns = [*self.full_ensemble.names, self.blend_cfg.output]
         return each.unionByName(blend.mix_scenarios(each, S.SCENARIOS[0], S.SCENARIOS[1],
                                                     self.cfg.regime_probability, columns))
