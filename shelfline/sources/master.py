@@ -40,9 +40,13 @@ def build_master(lines: DataFrame, orders: DataFrame, products: DataFrame, colum
     if set(wanted) & set(ORDER_COLUMNS):
         own = [c for c in ORDER_COLUMNS if c in wanted]
         out = out.join(orders.select("order_id", *own), "order_id", "left")
-    if set(wanted) & {*PRODUCT_COLUMNS, "line_cogs"}:
-        own = [c for c in PRODUCT_COLUMNS if c in wanted or (c == "cogs" and "line_cogs" in wanted)]
-        out = out.join(products.select("product_id", *own), "product_id", "left")
-        if "line_cogs" in wanted:
-            out = out.withColumn("line_cogs", (F.col("quantity") * F.col("cogs")).cast(money))
-    return out.select(*wanted)
+    return with_products(out, products, wanted, money).select(*wanted)
+
+
+def with_products(lines: DataFrame, products: DataFrame, columns: Sequence[str], money: str = "decimal(18,4)") -> DataFrame:
+    """Look up the product columns among ``columns``, if any."""
+    own = [c for c in PRODUCT_COLUMNS if c in columns or (c == "cogs" and "line_cogs" in columns)]
+    if not own:
+        return lines
+    out = lines.join(products.select("product_id", *own), "product_id", "left")
+    return out.withColumn("line_cogs", (F.col("quantity") * F.col("cogs")).cast(money)) if "line_cogs" in columns else out

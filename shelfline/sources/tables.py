@@ -69,6 +69,10 @@ class RetailTables(ABC):
         both = list(dict.fromkeys([*self.registry.columns("lines"), *columns]))
         return self.registry.get("lines", columns, lambda: self.master_once(both)).select(*columns)
 
+    def products_apart(self) -> bool:
+        """Whether lines get their product columns by product_id from `products` alone."""
+        return False
+
     @abstractmethod
     def orders(self) -> DataFrame: ...
 
@@ -152,6 +156,9 @@ class CsvTables(RetailTables):
         """The stored denormalised lines, if the folder has the file; a file that cannot be read fails."""
         return self._read("master_table") if path_exists(self.spark, f"{self.base}/master_table.csv") else None
 
+    def products_apart(self) -> bool:
+        return self._lines() is None
+
     def _built_lines(self) -> DataFrame:
         items = require_columns(self.order_items(), ["order_item_id"], "order_items")
         refund = F.col("refund_amount") if "refund_amount" in items.columns else F.lit(None)

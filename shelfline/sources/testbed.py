@@ -181,6 +181,9 @@ class ParquetTestbed(RetailTables):
         lines = lines_once(self._lines(), self.LINE_ORDER)
         return build_master(self._typed(lines), self._order_facts(), self.products(), columns)
 
+    def products_apart(self) -> bool:
+        return True
+
     def sales(self) -> DataFrame:
         """Daily totals. Lines are summed per order before they meet the orders."""
         costs = self.products().select("product_id", "cogs")

@@ -130,3 +130,35 @@ def test_distinct_counts_equal_sparks_own(spark):
 def test_distinct_counts_need_no_expand(tables, build):
     text = plan(build(tables))
     assert "Expand" not in text and "partial_bit_or" in text
+
+
+def test_a_query_stores_only_what_it_reads(tables, tmp_path, monkeypatch):
+    """Orders alone for a query over orders; no product columns in the lines, and the same rows with them."""
+    monkeypatch.setattr(type(tables), "master_once", lambda *_: pytest.fail("lines were computed"))
+    folder = tmp_path / "retail"
+    copy = StoredTables.store(tables, str(folder), buckets=2, tables=())
+    assert rows(tr.window_orders(copy)) == rows(tr.window_orders(tables))
+    assert {p.name for p in folder.iterdir() if not p.name.startswith(".")} == {"layout", "done", "orders", "web_traffic"}
+    monkeypatch.undo()
+    wide = ["order_item_id", "product_name", "category", "segment", "line_cogs"]
+    assert rows(copy.lines(wide)) == rows(tables.lines(wide))
+    stored_columns = copy.spark.read.parquet(f"{folder}/lines").columns
+    assert not {"product_name", "category", "segment", "line_cogs"} & set(stored_columns)
+    copy.close()
+
+
+def test_lines_with_product_columns_of_their_own_keep_them(tables, tmp_path, monkeypatch):
+    """Where the source does not look products up, what the lines hold is stored."""
+    monkeypatch.setattr(type(tables), "products_apart", lambda _: False)
+    copy = StoredTables.store(tables, str(tmp_path / "retail"), buckets=2, tables=("lines",))
+    assert "product_name" in copy.spark.read.parquet(f"{copy.base}/lines").columns
+    monkeypatch.setattr(type(tables), "products", lambda _: pytest.fail("products were looked up"))
+    assert copy.lines(["order_item_id", "product_name"]).count() > 0
+    copy.close()
+
+
+def test_a_table_that_was_not_written_to_its_end_is_written_again(tables, tmp_path):
+    copy = StoredTables.store(tables, str(tmp_path / "retail"), buckets=2, tables=())
+    tables.orders().limit(3).write.parquet(f"{copy.base}/orders")
+    assert copy.orders().count() == tables.orders().count()
+    copy.close()
