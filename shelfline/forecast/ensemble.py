@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from shelfline.forecast.calendar import DateFeature
 from shelfline.forecast.features import feature_names, known_features, known_names, lag_names, reach
 from shelfline.forecast.store import ModelStore, series_fingerprint
 from shelfline.forecast.trees import TreeArrays, tree_arrays
-from shelfline.session import remove_path, shared_folder, work_path
+from shelfline.session import remove_path, shared_folder, stored, work_path
 
 #: Training rows in one partition. A boosting round is some ten short jobs, so few rows mean few tasks.
 ROWS_PER_PARTITION = 100_000
@@ -127,6 +128,8 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
     array, lets the model transform the rows, and writes the longer state to the
     shared folder; the state before it is then removed. So work spreads over series and
     scenarios, a row never exceeds a year plus the horizon, lineage is one block long, and a lost executor costs one block at most.
+    A block is a view over the member's folder, read again as it stands for every block: `transform` sends
+    the whole model to the executors each time it is called, so it is called once a member.
     ``future`` carries the features that need no past value.
     """
     step = step or step_size(cfg)
@@ -139,21 +142,22 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
               .groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("_held"))
               .select("unique_id", F.col("_held.y").alias("_past")))
 
-    # One folder a block; the known features travel as one array, so a block's plan is short and the same for all blocks.
+    # The known features travel as one array. Days are sorted by block, so a block skips the row groups of the others.
+    # A block's name is a string: a number would be part of the generated code, which is compiled once this way.
     place = F.row_number().over(Window.partitionBy(*line).orderBy("ds")) - 1
     fixed = F.array(*[_number(F.col(c)) for c in known_names(cfg, features)]).alias("_fixed")
     ahead_path = work_path(spark, "ahead")
     ahead = future.select(*line, "ds", fixed, place.alias("_place"))
-    (ahead.select("*", F.expr(f"_place % {step}").alias("_at"), F.expr(f"_place div {step}").cast("int").alias("_block"))
-     .write.partitionBy("_block").parquet(ahead_path))
+    (ahead.select("*", F.expr(f"_place % {step}").alias("_at"), F.expr(f"_place div {step}").cast("string").alias("_block"))
+     .orderBy("_block", *line).write.parquet(ahead_path))
     ahead = spark.read.parquet(ahead_path)
-    day_schema = ahead.drop("_block").schema
 
-    start_path = work_path(spark, "state")
-    start = (ahead.select(*line).distinct().join(recent, "unique_id").select(*line, F.size("_past").alias("_known"), "_past"))
-    start.write.parquet(start_path)
-    blocks = ahead.agg(F.max("_block")).first()[0]
-    # Every column is a call to the JVM, so what all blocks share is built once.
+    start = stored(ahead.select(*line).distinct().join(recent, "unique_id").select(*line, F.size("_past").alias("_known"), "_past"),
+                   "state")
+    state_schema = start.withColumn("_block", F.lit("0")).schema
+    last = ahead.agg(F.max("_place")).first()[0]
+    blocks = 0 if last is None else last // step + 1
+    # Every column is a call to the JVM, so what all members share is built once.
     vector = array_to_vector(F.concat(F.array(*map(_number, _lag_features("_past", cfg))), "_fixed")).alias("_features")
     found = [F.sort_array(F.collect_list(F.struct("_at", "_made"))).alias("_made"), F.first("_known").alias("_known"),
              F.first("_past").alias("_past")]
@@ -161,18 +165,23 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
 
     def predicted(name: str) -> DataFrame:
         """The member's last state: what it was given and all that it predicts."""
-        model, state_path = ensemble.models[name], start_path
-        for block in range(0 if blocks is None else blocks + 1):
-            days = spark.read.schema(day_schema).parquet(f"{ahead_path}/_block={block}")
-            rows = days.join(spark.read.schema(start.schema).parquet(state_path), line)
-            rows = rows.select(*line, "_at", "_known", "_past", vector)
-            rows = model.transform(rows, {model.getParam("featuresCol"): "_features", model.getParam("predictionCol"): "_made"})
-            next_path = work_path(spark, "state")
-            rows.groupBy(*line).agg(*found).select(*line, "_known", longer).write.parquet(next_path)
-            if block:
-                remove_path(spark, state_path)
-            state_path = next_path
-        return spark.read.schema(start.schema).parquet(state_path)
+        if not blocks:
+            return start
+        model, path, view = ensemble.models[name], work_path(spark, "states"), f"shelfline_block_{uuid.uuid4().hex}"
+        start.write.parquet(f"{path}/_block=0")
+        rows = ahead.join(spark.read.schema(state_schema).parquet(path), [*line, "_block"])
+        rows = rows.select(*line, "_block", "_at", "_known", "_past", vector)
+        rows = model.transform(rows, {model.getParam("featuresCol"): "_features", model.getParam("predictionCol"): "_made"})
+        rows.groupBy(*line, "_block").agg(*found).select(*line, "_block", "_known", longer).createTempView(view)
+        try:
+            for block in range(blocks):
+                if block:
+                    spark.catalog.refreshTable(view)  # lists the folder anew
+                spark.table(view).where(F.col("_block") == str(block)).drop("_block").write.parquet(f"{path}/_block={block + 1}")
+                remove_path(spark, f"{path}/_block={block}")
+        finally:
+            spark.catalog.dropTempView(view)
+        return spark.read.schema(start.schema).parquet(f"{path}/_block={blocks}")
 
     done = ahead.select(*line, "ds", "_place")
     with ThreadPoolExecutor(max_workers=max(1, len(ensemble.names))) as pool:

@@ -281,6 +281,28 @@ def test_a_stopped_fit_goes_on_with_the_missing_member(spark, trained, tmp_path)
     assert held.stat().st_mtime_ns == stamp and len(list((tmp_path / "models").iterdir())) == 2
 
 
+def test_a_fit_reads_no_model_that_it_trained(spark, trained, tmp_path, monkeypatch):
+    history, profile, _ = trained
+    matrix = feature_matrix(history, profile, CFG)
+    params = dict(list(quick_ensemble(2, 2).items())[:2])
+    store, read = ModelStore(spark, str(tmp_path / "models")), []
+    fit_ensemble(matrix, CFG, build_estimators(dict(list(params.items())[:1])), store=store)
+    load = ModelStore.load
+    monkeypatch.setattr(ModelStore, "load", lambda self, path: read.append(path) or load(self, path))
+    assert fit_ensemble(matrix, CFG, build_estimators(params), store=store).names == list(params) and len(read) == 1
+
+
+def test_a_member_sends_its_model_once(trained, monkeypatch):
+    """The horizon's blocks share one call of `transform`, which broadcasts all trees."""
+    history, profile, ensemble = trained
+    kind = type(next(iter(ensemble.models.values())))
+    calls, transform = [], kind.transform
+    monkeypatch.setattr(kind, "transform", lambda self, *given: calls.append(self.uid) or transform(self, *given))
+    ahead = future_features(S.future_frame(history, CFG, ("non_covid",), horizon=22), profile, CFG)
+    assert recursive_forecast(ensemble, history, ahead, CFG).count() == 3 * 22
+    assert sorted(calls) == sorted(m.uid for m in ensemble.models.values())
+
+
 def test_recursion_on_a_series_shorter_than_a_year(spark, trained):
     """Lags before the first day are unknown, not an error; the state holds all series and scenarios at once."""
     history, profile, ensemble = trained
