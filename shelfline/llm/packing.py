@@ -28,6 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,17 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
+class _Known(dict):
+    """Ids of words met; words looked up in vain are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.fresh.append(word)
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
 
@@ -67,32 +79,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
         self.size = 0
 
     def learn(self, fresh: list[bytes]) -> None:
         """Unmet words go to the library as one text; offsets tell which ids are whose."""
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        next_word = np.cumsum([len(t) + 1 for t in texts])
-        starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        ends = 4 * np.searchsorted(np.searchsorted(next_word, starts, "right"), np.arange(len(fresh)), "right")
-        ids, at = np.array(found.ids, "<u4").tobytes(), 0
-        for word, end in zip(fresh, ends.tolist()):
-            self.known[word] = ids[at:end]
-            at = end
+        text = b" ".join(fresh).decode("utf-8", "replace")
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        count = len(found)
+        # Numbers one by one: a list of pairs costs NumPy ten times as much.
+        starts = np.maximum.accumulate(np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * count)[::2])
+        next_word = np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(fresh)) + 1)
+        ends = (4 * np.searchsorted(starts, next_word)).tolist()
+        ids = np.fromiter(found.ids, "<u4", count).tobytes()
+        self.known.update(zip(fresh, map(ids.__getitem__, map(slice, [0, *ends], ends))))
         self.size += sum(map(len, fresh)) + len(ids) + 150 * len(fresh)
 
     def __call__(self, text: bytes | None) -> bytes:
         out = bytearray()
         for part in slices(text or b""):
-            words = part.split()
-            fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-            if fresh:
-                self.learn(fresh)
-            out += b"".join(map(self.known.__getitem__, words))
+            ids = list(map(self.known.__getitem__, part.split()))
+            if fresh := self.known.fresh:
+                self.learn(list(dict.fromkeys(fresh)))
+                missing = map(self.known.__getitem__, fresh)
+                ids = [next(missing) if i is None else i for i in ids]
+                self.known.fresh = []
+            out += b"".join(ids)
             if self.size > REMEMBERED_BYTES:
-                self.known, self.size = {}, 0
+                self.known, self.size = _Known(), 0
         return bytes(out)
 
 

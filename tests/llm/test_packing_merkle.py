@@ -44,6 +44,20 @@ def test_slices_join_to_the_text_and_cut_at_blanks(monkeypatch):
     assert [w for s in packing.slices(text) for w in s.split()] == text.split()
 
 
+def test_a_known_word_is_looked_up_once(monkeypatch):
+    encode = packing.WordEncoder(open(tokenizer_path(PACKING_TOKENIZER), encoding="utf-8").read())
+    text, asked = b"one two three two\n" * 50, []
+    first = encode(text)
+
+    class Counted(dict):
+        fresh = []
+        __contains__ = lambda self, w: asked.append(w) or dict.__contains__(self, w)
+        __getitem__ = lambda self, w: asked.append(w) or dict.__getitem__(self, w)
+
+    encode.known = Counted(encode.known)
+    assert encode(text) == first and len(asked) == 200
+
+
 def test_words_encode_as_whole_texts(library, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_BYTES", 40)
     monkeypatch.setattr(packing, "REMEMBERED_BYTES", 2000)
