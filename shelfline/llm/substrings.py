@@ -183,10 +183,9 @@ def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str]:
 def _passages(columns: dict) -> dict:
     """Runs of windows with one first holder, as texts: the holder's own are reference, the others stream."""
     out = {k: [] for k in ("holder", "doc_id", "row", "start", "n_words", "passage")}
-    for doc, row, text, pairs in zip(columns["doc_id"], columns["row"], columns["text"], columns["pairs"]):
+    for doc, row, text, at, first in zip(columns["doc_id"], columns["row"], columns["text"], columns["at"], columns["first"]):
         words = text.split()
-        at = np.array([p["at"] for p in pairs], np.int64)
-        first = np.array([p["first"] for p in pairs], np.int64)
+        at, first = np.array(at, np.int64), np.array(first, np.int64)
         order = np.argsort(at, kind="stable")
         at, first = at[order], first[order]
         cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0)) + 1
@@ -232,7 +231,9 @@ def repeated_spans(candidates: DataFrame) -> DataFrame:
     first = found.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
     first = stored(first, "repeated-windows")
     pairs = found.join(first, "w").groupBy("row").agg(F.collect_list(F.struct("at", "first")).alias("pairs"))
-    passages = per_batch(candidates.select("doc_id", "row", "text").join(pairs, "row").select("doc_id", "row", "text", "pairs"), _passages,
+    # Two arrays of numbers: of structs, Python would make a dict for each window.
+    apart = candidates.select("doc_id", "row", "text").join(pairs, "row").select("doc_id", "row", "text", "pairs.at", "pairs.first")
+    passages = per_batch(apart, _passages,
                          "holder long, doc_id long, row long, start long, n_words long, passage string")
     passages = stored(passages, "passages")
     total = passages.agg(F.coalesce(F.sum(F.when(F.col("holder") == F.col("doc_id"), F.col("n_words"))), F.lit(0))).first()[0]

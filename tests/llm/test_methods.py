@@ -185,6 +185,14 @@ def test_windows_of_earlier_documents_go(docs_of):
     assert got.pop(None)[0] == 0 and got == want and want[9][0] == 70
 
 
+def test_windows_reach_passages_as_numbers():
+    """A window costs two numbers, no object of its own; runs break at gaps and at another holder."""
+    words = [b"w%d" % n for n in range(120)]
+    made = substrings._passages({"doc_id": [9], "row": [1], "text": [b" ".join(words)], "at": [[5, 4, 30, 6]], "first": [[2, 2, 2, 3]]})
+    assert list(zip(made["holder"], made["start"], made["n_words"])) == [(2, 4, 51), (3, 6, 50), (2, 30, 50)]
+    assert made["passage"][1].encode().split() == words[6:56]
+
+
 def test_automaton_finds_the_smallest_holder():
     words = [f"{i}".encode() for i in range(120)]
     automaton = substrings.Automaton()
