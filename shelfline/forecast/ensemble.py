@@ -26,6 +26,8 @@ from shelfline.session import remove_path, shared_folder, stored, work_path
 ROWS_PER_PARTITION = 100_000
 #: Boosting rounds between two writes that cut the lineage.
 ROUNDS_PER_CHECKPOINT = 25
+#: A state has one reader, which starts when it is whole.
+NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def build_estimators(params: Mapping[str, TreeParams]) -> dict[str, Estimator]:
@@ -124,9 +126,9 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
     The members know nothing of each other, so they go side by side; each of them goes
     block by block of ``step`` days, for all series and scenarios together: its state
     is one row per (scenario, series) with the last year of values and what it
-    has predicted so far. A block joins its days to the state, builds the lags from the
+    has predicted so far. A block gathers its days and the state by line, builds the lags from the
     array, lets the model transform the rows, and writes the longer state to the
-    shared folder; the state before it is then removed. So work spreads over series and
+    shared folder, all in one shuffle; the state before it is then removed. So work spreads over series and
     scenarios, a row never exceeds a year plus the horizon, lineage is one block long, and a lost executor costs one block at most.
     A block is a view over the member's folder, read again as it stands for every block: `transform` sends
     the whole model to the executors each time it is called, so it is called once a member.
@@ -169,15 +171,19 @@ def recursive_forecast(ensemble: Ensemble, history: DataFrame, future: DataFrame
             return start
         model, path, view = ensemble.models[name], work_path(spark, "states"), f"shelfline_block_{uuid.uuid4().hex}"
         start.write.parquet(f"{path}/_block=0")
-        rows = ahead.join(spark.read.schema(state_schema).parquet(path), [*line, "_block"])
-        rows = rows.select(*line, "_block", "_at", "_known", "_past", vector)
+        days = ahead.select(*line, "_block", F.struct("_at", "_fixed").alias("_day"))
+        # Gathered and not joined: the prediction is grouped by the same keys, so it needs no second shuffle.
+        rows = days.unionByName(spark.read.schema(state_schema).parquet(path), allowMissingColumns=True).groupBy(*line, "_block").agg(
+            F.first("_known", True).alias("_known"), F.first("_past", True).alias("_past"), F.collect_list("_day").alias("_days"))
+        rows = rows.where(F.col("_past").isNotNull()).select(*line, "_block", "_known", "_past", F.explode("_days").alias("_day"))
+        rows = rows.select(*line, "_block", "_day._at", "_known", "_past", "_day._fixed").select(*line, "_block", "_at", "_known", "_past", vector)
         rows = model.transform(rows, {model.getParam("featuresCol"): "_features", model.getParam("predictionCol"): "_made"})
         rows.groupBy(*line, "_block").agg(*found).select(*line, "_block", "_known", longer).createTempView(view)
         try:
             for block in range(blocks):
                 if block:
                     spark.catalog.refreshTable(view)  # lists the folder anew
-                spark.table(view).where(F.col("_block") == str(block)).drop("_block").write.parquet(f"{path}/_block={block + 1}")
+                spark.table(view).where(F.col("_block") == str(block)).drop("_block").write.options(**NO_MARK).parquet(f"{path}/_block={block + 1}")
                 remove_path(spark, f"{path}/_block={block}")
         finally:
             spark.catalog.dropTempView(view)

@@ -86,7 +86,7 @@ class Workspace:
 
     @cached_property
     def train_matrix(self) -> DataFrame:
-        return feature_matrix(self.parts[0], self.train_profile, self.cfg, self.features)
+        return stored(feature_matrix(self.parts[0], self.train_profile, self.cfg, self.features), "train-matrix")
 
     @cached_property
     def full_matrix(self) -> DataFrame:

@@ -303,6 +303,18 @@ def test_a_member_sends_its_model_once(trained, monkeypatch):
     assert sorted(calls) == sorted(m.uid for m in ensemble.models.values())
 
 
+def test_a_block_shuffles_once(spark, trained):
+    """Days and state are gathered by the keys that the prediction is grouped by: two jobs a block and member, with no broadcast."""
+    history, profile, ensemble = trained
+    ahead = future_features(S.future_frame(history, CFG, ("non_covid",), horizon=10 * 7), profile, CFG).persist()
+    ahead.count()
+    jobs = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
+    predicted = recursive_forecast(ensemble, history, ahead, CFG)
+    assert jobs() - before <= len(ensemble.names) * 10 * 2 + 16
+    assert predicted.count() == 3 * 70
+
+
 def test_recursion_on_a_series_shorter_than_a_year(spark, trained):
     """Lags before the first day are unknown, not an error; the state holds all series and scenarios at once."""
     history, profile, ensemble = trained
